@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .secrets import SECRETS_SQL
+from .urls import URLS_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +30,24 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), f"{m}.lang_pred", f"{m}.score", f"{m}.ambiguous")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import LISTED_SITES, RULES, filter_urls
+
+    rows = [(*r, 0) for r in RULES] + [(site, "", "block", 1) for site in LISTED_SITES]
+    listed = spark.createDataFrame(rows, "host string, path string, verdict string, rank int")
+    out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed)
+    return out.select(
+        "page.page_id", "host", "path", F.when(F.col("rank") == 0, F.col("entry")).alias("rule"),
+        F.coalesce("verdict", F.lit("allow")).alias("verdict"), F.when(F.col("rank") == 1, F.col("entry")).alias("listed"),
+    )
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import find_secrets, span_report
+
+    return span_report(find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")), ["assign", "access", "hex"])
+
+
 def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_bytes
 
@@ -60,6 +80,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_language_id, op7_shard_documents, op9_decontaminate, op10_simhash, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_language_id, op4_url_filter, op6_secret_scan, op7_shard_documents, op9_decontaminate, op10_simhash, pipeline)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": URLS_SQL, "op6_secret_scan": SECRETS_SQL}
