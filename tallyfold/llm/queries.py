@@ -55,6 +55,12 @@ def op7_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data, span_report
+
+    return span_report(find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")), KINDS)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import decontaminate
 
@@ -80,6 +86,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_language_id, op4_url_filter, op6_secret_scan, op7_shard_documents, op9_decontaminate, op10_simhash, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_language_id, op4_url_filter, op6_secret_scan, op7_shard_documents, op8_personal_data, op9_decontaminate, op10_simhash, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": URLS_SQL, "op6_secret_scan": SECRETS_SQL}
