@@ -14,6 +14,12 @@ from .urls import URLS_SQL
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -86,6 +92,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_mix_sources, op3_language_id, op4_url_filter, op6_secret_scan, op7_shard_documents, op8_personal_data, op9_decontaminate, op10_simhash, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprint, op2_mix_sources, op3_language_id, op4_url_filter, op6_secret_scan, op7_shard_documents, op8_personal_data, op9_decontaminate, op10_simhash, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": URLS_SQL, "op6_secret_scan": SECRETS_SQL}
