@@ -48,6 +48,14 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan_licenses
+
+    out = scan_licenses(table(spark, sf_dir, "documents"))
+    licenses = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return out.select("doc_id", F.size("matches").cast("bigint").alias("n_templates"), F.array_join(licenses, ",").alias("licenses"), F.array_max(F.transform("matches", lambda m: m["containment"])).alias("containment"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets, span_report
 
@@ -92,6 +100,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprint, op2_mix_sources, op3_language_id, op4_url_filter, op6_secret_scan, op7_shard_documents, op8_personal_data, op9_decontaminate, op10_simhash, pipeline)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_fingerprint, op2_mix_sources, op3_language_id, op4_url_filter, op5_license_scan, op6_secret_scan, op7_shard_documents, op8_personal_data, op9_decontaminate, op10_simhash, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": URLS_SQL, "op6_secret_scan": SECRETS_SQL}
