@@ -53,7 +53,8 @@ def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE,
     whole = F.when(F.size("words") >= shingle, F.concat(*parts)).otherwise(F.array_join("words", " "))
     each = each.select("row", "kept", F.when(F.col("at").isNotNull(), F.xxhash64(whole)).alias("h"))
     packed = [F.coalesce(F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LOW))), F.lit(0)).alias(f"s{k}") for k in range(32)]
-    sums = each.groupBy("row").agg(F.first("kept").alias("kept"), F.count("h").alias("n"), *packed)
+    # The row's own columns are keys too: as values they would make this a sort of all shingles.
+    sums = each.groupBy("row", "kept").agg(F.count("h").alias("n"), *packed)
 
     def bit(k: int) -> Column:
         lanes = F.col(f"s{k % 32}")
