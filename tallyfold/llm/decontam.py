@@ -25,7 +25,7 @@ WINDOW = 10
 #: Benchmark bytes that are broadcast at once; a larger benchmark is searched in several blocks.
 BLOCK_BYTES = 8 << 20
 #: Text bytes in a shard. A document is never divided between shards.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 19
 
 RESULT = "struct<n_words: bigint, n_hit: bigint, items: array<string>, spans: array<struct<start: bigint, stop: bigint>>, longest: bigint, longest_at: bigint>"
 

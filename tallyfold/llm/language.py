@@ -32,7 +32,7 @@ EXHAUSTIVE = 6
 #: Leads of the best codeword's share below this are ambiguous.
 AMBIGUOUS = 0.05
 #: Text bytes whose n-grams are held at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 18
 UNDETERMINED = "und"
 
 RESULT = "struct<lang_pred: string, score: double, ambiguous: boolean>"
@@ -82,8 +82,12 @@ def _features(data: np.ndarray, order: int) -> np.ndarray:
     return (h >> np.uint32(32 - FEATURES.bit_length() + 1)).astype(np.int32)
 
 
-def _chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """First row, bytes and starts of runs of texts; a long text is cut, into runs that name the same row."""
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """First row, bytes and starts of runs of texts, and how many bytes n-grams may begin at.
+
+    A long text is cut into runs that name the same row; each ends with the
+    first bytes of the next one, in which none of its n-grams begins.
+    """
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
@@ -95,9 +99,9 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         if b == a + 1 and hi - lo > CHUNK_BYTES:
             for at in range(lo, hi, CHUNK_BYTES):
                 stop = min(hi, at + CHUNK_BYTES + max(ORDERS) - 1)
-                yield a, data[at:stop], np.array([0, stop - at])
+                yield a, data[at:stop], np.array([0, stop - at]), CHUNK_BYTES
         else:
-            yield a, data[lo:hi], offsets[a : b + 1] - lo
+            yield a, data[lo:hi], offsets[a : b + 1] - lo, hi - lo
         a = b
 
 
@@ -114,10 +118,10 @@ def mean_answers(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     """For each text the mean over its n-grams of each classifier's weight. weights: orders x features x bits."""
     total = np.zeros((len(texts), weights.shape[2]))
     count = np.zeros(len(texts))
-    for row, data, starts in _chunks(texts):
+    for row, data, starts, limit in _chunks(texts):
         m = len(starts) - 1
         for k, order in enumerate(ORDERS):
-            h = _features(data, order)
+            h = _features(data, order)[:limit]
             ok = _inside(starts, order, len(h))
             own = np.minimum(starts, len(h))
             kept = np.concatenate(([0], np.cumsum(ok)))[own]
@@ -170,9 +174,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             into = sums.setdefault(lang, np.zeros((len(ORDERS), FEATURES)))
             for text in own["text"]:
                 one = np.zeros_like(into)
-                for _, data, _ in _chunks(pa.array([text.as_py()], pa.string())):
+                for _, data, _, limit in _chunks(pa.array([text.as_py()], pa.string())):
                     for k, order in enumerate(ORDERS):
-                        one[k] += np.bincount(_features(data, order), minlength=FEATURES)
+                        one[k] += np.bincount(_features(data, order)[:limit], minlength=FEATURES)
                 into += one / max(1.0, one.sum())
     for lang, own in sums.items():
         order, feature = np.nonzero(own)
