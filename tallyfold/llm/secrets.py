@@ -139,7 +139,7 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def rule_spans(text: Column, rule: Rule) -> Column:
-    """``array<struct<start, stop, rank, kind>>`` without the rank: matches that are long enough."""
+    """``array<struct<start, rank, stop, kind>>`` without the rank: matches that are long enough."""
     spans = match_spans(text, rule.pattern)
     if rule.group:
         kept = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
@@ -151,11 +151,11 @@ def rule_spans(text: Column, rule: Rule) -> Column:
 
 def named(spans: Column, rank: int, kind: str) -> Column:
     """Spans with their kind and its place among kinds."""
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind")))
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind")))
 
 
 def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """``doc_id`` and ``spans``, ``array<struct<start, stop, rank, kind>>``, for every row of ``docs``.
+    """``doc_id`` and ``spans``, ``array<struct<start, rank, stop, kind>>``, for every row of ``docs``.
 
     Spans are in code points with an exclusive end, ordered by start, then by
     the rule's place in ``rules``.  A null or empty text has none.  Rows that
@@ -175,7 +175,7 @@ def find_secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         rows = rows.join(found.withColumnRenamed("key", "found"), F.col("key") == F.col("found"), "left")
     else:
         rows = rows.withColumn("mask", F.lit(None).cast("bigint"))
-    kind = "array<struct<start:int,stop:int,rank:int,kind:string>>"
+    kind = "array<struct<start:int,rank:int,stop:int,kind:string>>"
     parts = []
     for k, rule in enumerate(rules):
         test = F.col("mask").bitwiseAND(F.lit(1 << k)) != 0 if k in indexed else F.lit(True)

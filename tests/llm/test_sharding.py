@@ -1,0 +1,67 @@
+import random
+import zlib
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
+
+from tallyfold.llm import sharding
+
+from . import hard
+
+
+def test_differencing_balances():
+    rng = random.Random(3)
+    for n, k in ((0, 4), (3, 5), (200, 7), (2000, 40)):
+        sizes = [int(rng.paretovariate(1.3) * 100) for _ in range(n)]
+        parts = sharding.differenced(sizes, k)
+        assert len(parts) == n and all(0 <= p < k for p in parts)
+        sums = [0] * k
+        for s, p in zip(sizes, parts, strict=True):
+            sums[p] += s
+        if n > 100:
+            assert max(sums) <= max(max(sizes), sum(sums) / k * 1.01)
+    # The two-way case by hand: 8 7 6 5 4 differ by 2.
+    assert sorted(sum(s for s, p in zip([8, 7, 6, 5, 4], sharding.differenced([8, 7, 6, 5, 4], 2), strict=True) if p == q) for q in (0, 1)) == [14, 16]
+
+
+def checked(rows, want_rows, shards):
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in want_rows)
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(0 <= s < shards for s in slots) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_hard_documents(spark):
+    rows = sharding.shard_bytes(hard.docs(spark), shards=5).collect()
+    checked(rows, [r[:2] for r in hard.rows()], 5)
+    assert len({r["shard"] for r in rows if (r["doc_id"] or 0) >= 1000}) == 1
+    assert sharding.shard_bytes(hard.empty(spark)).count() == 0
+
+
+def test_levels_large_groups_and_balance(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BLOCK_ITEMS", 50)
+    monkeypatch.setattr(sharding, "LAST_BLOCKS", 4)
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 16)
+    rng = random.Random(6)
+    texts = ["x" * int(rng.paretovariate(1.2) * 20) + str(i) for i in range(2500)] + ["copy " * 40] * 900
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
+    rows = sharding.shard_bytes(docs, shards=8).collect()
+    checked(rows, list(enumerate(texts)), 8)
+    own = defaultdict(set)
+    for r in rows:
+        own[texts[r["doc_id"]]].add(r["shard"])
+    assert all(len(s) == 1 for s in own.values())
+    sums = Counter()
+    for r in rows:
+        sums[r["shard"]] += r["size"]
+    largest = max(len(t) + 16 for t in texts)
+    largest = max(largest, 900 * (200 + 16))
+    ideal = sum(sums.values()) / 8
+    rest = [v for v in sums.values() if v < largest]
+    assert max(sums.values()) <= max(ideal * 1.02, largest) and max(rest) - min(rest) <= 0.05 * ideal
+
+
+def test_one_group(spark):
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
+    assert {r["shard"] for r in sharding.shard_bytes(docs).collect()} == {0}
