@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, match_spans, small_side, text_key
+from .common import checkpointed, let, match_spans, small_side
 from .secrets import span_report, spans_sql
 
 __all__ = ["find_personal_data", "sanitised", "span_report"]
@@ -62,9 +62,9 @@ def _valid(kind: str, m: Column) -> Column:
 
 
 def _entities(text: Column) -> Column:
-    """``array<struct<start, stop, rank, kind, value>>`` of the patterned kinds."""
+    """``array<struct<start, rank, stop, kind, value>>`` of the patterned kinds."""
     quick = {"email": F.contains(text, F.lit("@")), "ip": text.rlike("[0-9]\\.[0-9]++\\.[0-9]"), "card": text.rlike("[0-9](?:[\\x20-]?[0-9]){13}"), "phone": text.rlike("\\+[0-9]")}
-    kind_type = "array<struct<start:int,stop:int,rank:int,kind:string,value:string>>"
+    kind_type = "array<struct<start:int,rank:int,stop:int,kind:string,value:string>>"
     parts = []
     for rank, (kind, pattern) in enumerate(zip(KINDS, (_EMAIL, _IP, _CARD, _PHONE), strict=True)):
         parts.append(F.when(quick[kind], _of_kind(text, rank, kind, pattern)).otherwise(F.array().cast(kind_type)))
@@ -73,27 +73,26 @@ def _entities(text: Column) -> Column:
 
 def _of_kind(text: Column, rank: int, kind: str, pattern: str) -> Column:
     valid = F.filter(match_spans(text, pattern), lambda s: _valid(kind, s["match"]))
-    return F.transform(valid, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["match"].alias("value")))
+    return F.transform(valid, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["stop"].alias("stop"), F.lit(kind).alias("kind"), s["match"].alias("value")))
 
 
 def find_personal_data(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, bits: float = BITS, probability: float = PROBABILITY,
 ) -> DataFrame:
-    """``doc_id`` and ``spans``, ``array<struct<start, stop, rank, kind>>``, for every row of ``docs``.
+    """``doc_id`` and ``spans``, ``array<struct<start, rank, stop, kind>>``, for every row of ``docs``.
 
     Kinds are email, ip, card, phone, then ``term_general`` and ``term_remove``;
     spans are in code points, end exclusive, by start, then by kind in that
     order.  A term's spans are those in lines that hold an entity it discloses.
-    Counts are of documents, each distinct pair of id and text once, over the
-    whole table.  A null or empty text has no spans.  Rows that repeat an id and
-    a text each get their row.  Other columns are not read.  An empty table
+    Counts are of rows, over the whole table.  A null or empty text has no
+    spans.  Repeated rows each count and each keep a row.  Other columns are not read.  An empty table
     gives an empty result.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text")).withColumn("key", text_key(F.col("doc_id"), F.col("text")))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"))
     found = rows.withColumn("entities", _entities(F.col("text")))
     lines = F.when(F.size("entities") > 0, F.filter(match_spans(F.col("text"), "[^\\n]+"), lambda x: F.exists("entities", lambda e: (e["start"] < x["stop"]) & (e["stop"] > x["start"]))))
-    found = checkpointed(found.select("doc_id", "key", "entities", lines.alias("lines")))
+    found = checkpointed(found.select("doc_id", "entities", lines.alias("lines"))).withColumn("key", F.monotonically_increasing_id())
 
     # Each term of a line that holds entities, beside each of them.
     line = found.filter("lines is not null").select("key", "entities", F.explode("lines").alias("line"))
@@ -109,23 +108,22 @@ def find_personal_data(
     pairs = checkpointed(pairs)
     value = F.explode(F.array_distinct(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], F.lower(e["value"])))))
     held = found.select("key", value.alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    # Documents of each term in question, over all texts; the terms are broadcast if they are few.
-    asked = small_side(pairs.select(F.col("term").alias("asked")).distinct())
-    terms = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    spread = terms.join(asked, F.col("term") == F.col("asked"), "left_semi").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = found.select("key").distinct().count()
+    # Documents of each term, over all texts: counted before any join, by a 64-bit hash that stands for the term.
+    terms = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(x)))).alias("hash"))
+    spread = terms.groupBy("hash").agg(F.count(F.lit(1)).alias("n_term"))
+    n = found.count()
     given = F.col("both") / F.col("n_term")
     information = F.log2(given * F.lit(float(n)) / F.col("n_entity"))
-    told = pairs.join(spread, "term").join(held, "entity").withColumn("given", given).filter((F.col("given") >= probability) & (information >= bits))
+    told = pairs.withColumn("hash", F.xxhash64("term")).join(spread, "hash").join(held, "entity").withColumn("given", given).filter((F.col("given") >= probability) & (information >= bits))
     told = checkpointed(told.select(F.col("term").alias("t"), F.col("entity").alias("e"), (F.col("given") >= REMOVE).alias("remove")))
     hits = beside.join(small_side(told), (F.col("term") == F.col("t")) & (F.col("entity") == F.col("e")), "inner")
     hits = hits.groupBy("key", "start", "stop").agg(F.max("remove").alias("remove"))
     rank = F.when(F.col("remove"), len(KINDS) + 1).otherwise(len(KINDS))
     kind = F.when(F.col("remove"), F.lit("term_remove")).otherwise(F.lit("term_general"))
-    hits = hits.groupBy(F.col("key").alias("hit")).agg(F.collect_list(F.struct("start", "stop", rank.alias("rank"), kind.alias("kind"))).alias("terms"))
+    hits = hits.groupBy(F.col("key").alias("hit")).agg(F.collect_list(F.struct("start", rank.alias("rank"), "stop", kind.alias("kind"))).alias("terms"))
     out = found.select("doc_id", "key", "entities").join(hits, F.col("key") == F.col("hit"), "left")
-    plain = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), e["rank"].alias("rank"), e["kind"].alias("kind")))
-    return out.select("doc_id", F.array_sort(F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<start:int,stop:int,rank:int,kind:string>>")))).alias("spans"))
+    plain = F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["rank"].alias("rank"), e["stop"].alias("stop"), e["kind"].alias("kind")))
+    return out.select("doc_id", F.array_sort(F.concat(plain, F.coalesce("terms", F.array().cast("array<struct<start:int,rank:int,stop:int,kind:string>>")))).alias("spans"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
