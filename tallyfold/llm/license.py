@@ -1,11 +1,11 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-A window is four neighbouring shingles of five words; the next one begins four
+A window is three neighbouring shingles of five words; the next one begins three
 words on, so windows overlap.  Each window has BANDS minimum hashes of one row
 each.  Templates are cut into such windows at every offset.  A window that lies
 inside a template has the same shingles as one of the template's, so all bands
-agree; a template of a single shingle shares a quarter of its window, and is
-missed with probability (3/4) ** BANDS, about one in a thousand.  Templates that
+agree; a template of a single shingle shares a third of its window, and is
+missed with probability (2/3) ** BANDS, less than one in a thousand.  Templates that
 a window retrieves are verified by the share of their own shingles that occur
 there, compared as strings.
 """
@@ -14,17 +14,18 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, checkpointed, let, small_side, text_key
 
 SHINGLE = 5
 #: Shingles of a window.
-WINDOW = 4
-BANDS = 24
+WINDOW = 3
+BANDS = 18
 CONTAINMENT = 0.8
 #: A match may be so much longer than its template, as a share of it.
 STRETCH = 0.25
@@ -32,8 +33,9 @@ STRETCH = 0.25
 MOST_HASHES = 200_000
 
 _MASK = (1 << 64) - 1
-#: Flips that turn one hash into BANDS orders: their leading bits differ, their others are arbitrary.
-FLIPS = [((k << 59) ^ xxhash.xxh64_intdigest(b"band %d" % k) >> 5) & _MASK for k in range(BANDS)]
+#: A turn and a flip per band make one hash into BANDS orders: other bits lead in each.
+TURNS = [round(k * 64 / BANDS) for k in range(BANDS)]
+FLIPS = [xxhash.xxh64_intdigest(b"band %d" % k) for k in range(BANDS)]
 
 
 @dataclass(frozen=True)
@@ -75,8 +77,13 @@ def _signed(x: int) -> int:
 
 
 def _minima(hashes: list[int]) -> list[int]:
-    """Each band's least hash, hashes compared as signed numbers after its flip."""
-    return [min((_signed(h ^ f) for h in hashes)) for f in FLIPS]
+    """Each band's least hash, hashes compared as signed numbers after its turn and flip."""
+    return [min(_signed((h << t | h >> (64 - t)) & _MASK ^ f) for h in hashes) for t, f in zip(TURNS, FLIPS, strict=True)]
+
+
+def _ordered(h: Column, turn: int, flip: int) -> Column:
+    turned = F.shiftleft(h, turn).bitwiseOR(F.shiftrightunsigned(h, 64 - turn)) if turn else h
+    return turned.bitwiseXOR(F.lit(_signed(flip)))
 
 
 def shingle_hash(words: Column, at: Column) -> Column:
@@ -94,7 +101,10 @@ def scan_licenses(
     it, by the template's place in the list; a template needs five words.  A
     null or empty text, or one of fewer than five words, has none.  Repeated
     rows each keep a row; other columns are not read; an empty table gives an
-    empty result.  No shuffle: each row is scanned by itself.
+    empty result.
+
+    A window is a row, so that hashing and retrieval run in generated code; only
+    windows that retrieve a template are kept, and only matches are shuffled.
     """
     templates = TEMPLATES if templates is None else templates
     shingles = [template_shingles(t.text) for t in templates]
@@ -114,45 +124,34 @@ def scan_licenses(
     words = F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), _BETWEEN)
     words = let(words, lambda w: F.when(F.get(w, F.lit(0)) == "", F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w))
     words = let(words, lambda w: F.when(F.get(w, F.size(w) - 1) == "", F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w))
-    flips = F.array(*[F.lit(_signed(f)) for f in FLIPS])
-
-    def retrieved(w: Column) -> Column:
-        """The first shingle of each window that shares a band with some template."""
-        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE), lambda k: shingle_hash(w, k))
-        starts = F.sequence(F.lit(0), F.size(w) - SHINGLE, F.lit(WINDOW))
-
-        def hit(part: Column) -> Column:
-            return F.exists(flips, lambda f: F.array_min(F.transform(part, lambda h: h.bitwiseXOR(f))).isin(known))
-
-        return let(hashes, lambda h: F.filter(starts, lambda k: hit(F.slice(h, k + 1, F.lit(WINDOW)))))
-
-    def found(w: Column, starts: Column) -> Column:
-        """Of each template, its best containment around the windows."""
-        out = []
-        for number, (template, own) in enumerate(zip(templates, shingles, strict=True)):
-            n = len(own)
-            reach = int(n * (1 + STRETCH)) + WINDOW
-
-            def of(k: Column, own=own, n=n, reach=reach) -> Column:
-                first = F.greatest(F.lit(0), k + WINDOW - reach)
-                places = F.sequence(first, F.least(F.size(w) - SHINGLE, k + reach - 1))
-                here = F.transform(places, lambda at: F.concat_ws(" ", *[F.get(w, at + j) for j in range(SHINGLE)]))
-                return F.size(F.array_intersect(F.array(*map(F.lit, own)), here)) / F.lit(float(len(set(own))))
-
-            best = _best(starts, of)
-            out.append(F.when(best["containment"] >= containment, F.struct(F.lit(template.license).alias("license"), F.lit(number).alias("template"), best["containment"].alias("containment"), best["at"].alias("at"))))
-        return F.array_compact(F.array(*out))
-
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(text_key(F.col(doc_id), body).alias("key"), words.alias("words")).filter(F.size("words") >= SHINGLE)
+    # A row per window with its own words only: whatever plan runs this, no row holds a whole text.
+    cut = let(F.col("words"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE, F.lit(WINDOW)), lambda k: F.struct(k.alias("at"), F.slice(w, k + 1, F.lit(WINDOW + SHINGLE - 1)).alias("w"))))
+    windows = rows.select("key", F.explode(cut).alias("x")).select("key", "x.at", F.col("x.w").alias("w"))
+    # The last window repeats its last shingle, which changes no minimum.
+    hashes = [shingle_hash(F.col("w"), F.least(F.lit(j), F.size("w") - SHINGLE)).alias(f"h{j}") for j in range(WINDOW)]
+    # The row number keeps the filter, which uses each hash many times, from being moved below their computation.
+    windows = windows.select("key", "at", *hashes, F.monotonically_increasing_id().alias("n"))
+    least = [F.least(*[_ordered(F.col(f"h{j}"), t, f) for j in range(WINDOW)]) for t, f in zip(TURNS, FLIPS, strict=True)]
+    retrieved = windows.filter(reduce(Column.__or__, [m.isin(known) for m in least])).select("key", "at").distinct()
+
+    # Exact shingles around each window; texts come back for documents that have one.
+    asked = small_side(checkpointed(retrieved.withColumnRenamed("key", "asked")))
+    near = rows.join(asked, F.col("key") == F.col("asked")).select("key", "words", "at")
+    each = []
+    for number, (template, own) in enumerate(zip(templates, shingles, strict=True)):
+        reach = int(len(own) * (1 + STRETCH)) + WINDOW
+        places = F.sequence(F.greatest(F.lit(0), F.col("at") + WINDOW - reach), F.least(F.size("words") - SHINGLE, F.col("at") + reach - 1))
+        here = F.transform(places, lambda at: F.concat_ws(" ", *[F.get("words", at + j) for j in range(SHINGLE)]))
+        share = F.size(F.array_intersect(F.array(*map(F.lit, own)), here)) / F.lit(float(len(set(own))))
+        each.append(F.struct(F.lit(number).alias("template"), F.lit(template.license).alias("license"), share.alias("containment")))
+    found = near.select("key", "at", F.explode(F.array(*each)).alias("x")).filter(F.col("x.containment") >= containment)
+    best = found.groupBy("key", "x.template", "x.license").agg(F.max(F.struct("x.containment", (-F.col("at")).alias("back"))).alias("b"))
+    best = best.select("key", F.struct("license", "template", "b.containment", (-F.col("b.back")).alias("at")).alias("m"))
+    by_template = lambda a, b: F.when(a["template"] < b["template"], -1).when(a["template"] > b["template"], 1).otherwise(0)
+    matches = best.groupBy(F.col("key").alias("found")).agg(F.array_sort(F.collect_list("m"), by_template).alias("matches"))
+    matches = small_side(checkpointed(matches))
     none = F.array().cast("array<struct<license:string,template:int,containment:double,at:int>>")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), words.alias("words"))
-    empty = F.array().cast("array<int>")
-    rows = rows.withColumn("starts", F.when(F.size("words") >= SHINGLE, let(F.col("words"), retrieved)).otherwise(empty))
-    matches = let(F.struct("words", "starts"), lambda s: found(s["words"], s["starts"]))
-    return rows.select("doc_id", F.when(F.size("starts") > 0, matches).otherwise(none).alias("matches"))
-
-
-def _best(starts: Column, of) -> Column:
-    """The largest containment, and the first window with it."""
-    each = F.transform(starts, lambda k: F.struct(of(k).alias("containment"), (-k).alias("back")))
-    top = F.array_max(each)
-    return F.struct(top["containment"].alias("containment"), (-top["back"]).alias("at"))
+    every = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(doc_id), body).alias("key"))
+    return every.join(matches, F.col("key") == F.col("found"), "left").select("doc_id", F.coalesce("matches", none).alias("matches"))
