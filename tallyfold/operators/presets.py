@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import monoids
@@ -33,6 +33,13 @@ def trending(name: str, half_life: dt.timedelta, *keys: Column, amount: Column |
     return Pipeline(name, keys, F.lit(1.0) if amount is None else amount, monoids.DecayedSum(half_life))
 
 
+def sessions(events: DataFrame, key: str, time: str, gap: dt.timedelta) -> DataFrame:
+    """``entity, started, ended, v``: runs of a key's events with less than ``gap`` between them; it ends a gap after its last event."""
+    width = f"{gap // dt.timedelta(microseconds=1)} microseconds"
+    rows = events.groupBy(F.col(key).cast("string").alias("entity"), F.session_window(F.col(time), width).alias("s")).agg(F.count(F.lit(1)).alias("v"))
+    return rows.select("entity", F.col("s.start").alias("started"), F.col("s.end").alias("ended"), "v")
+
+
 def trailing(pipeline: Pipeline, *spans: dt.timedelta) -> Pipeline:
     """Daily buckets, kept long enough for the longest positive span and a day more; without one, as it was."""
     kept = [s for s in spans if s > dt.timedelta(0)]

@@ -82,6 +82,12 @@ class Reader:
     #: A trailing read is a window read.
     trailing, trailing_many = window, window_many
 
+    def over(self, entities: DataFrame, low: int = ALL_TIME, high: int = ALL_TIME) -> DataFrame:
+        """``v``: one answer over the union of several entities' states, within buckets."""
+        rows = self.state.filter(F.col("bucket").between(low, high)).join(entities.select("entity").distinct(), "entity", "left_semi")
+        merged = self.monoid.merge(rows.select(F.lit(0).alias("all"), "v"), ["all"])
+        return merged.select(self.monoid.finalize(F.col("v")).alias("v"))
+
     def sliding(self, span: dt.timedelta) -> DataFrame:
         """``entity, bucket, v``: at each bucket with state, the fold of the buckets of the ``span`` that ends there.
 

@@ -360,6 +360,26 @@ def named_query(spark, sf_dir):
     return registry.run("UserCounts", reader, {"user_ids": ["5", "2", "-1"], "seconds": 48 * 3600}, NOW)
 
 
+@query("SELECT true AS close")
+def cardinality_over(spark, sf_dir):
+    """Distinct users over two types at once, from their sketches, within 5 % of the exact number."""
+    p, rows = presets.unique_count("users", F.col("user_id"), F.col("event_type")), events(spark, sf_dir)
+    n = Reader(p, p.compile(rows)).over(asked(spark, "click", "purchase"))
+    exact = rows.filter(F.col("event_type").isin("click", "purchase")).agg(F.count_distinct("user_id").alias("x"))
+    both = n.unionByName(exact, allowMissingColumns=True).agg(F.max("v").alias("v"), F.max("x").alias("x"))
+    return both.select((F.abs(F.col("v") - F.col("x")) <= 0.05 * F.col("x")).alias("close"))
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM e)
+SELECT user_id::VARCHAR AS entity, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 21600000000 AS ended, count(*) AS v FROM s GROUP BY user_id, n
+""")
+def sessions(spark, sf_dir):
+    found = presets.sessions(events(spark, sf_dir), "user_id", "event_time", dt.timedelta(hours=6))
+    return found.select("entity", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "v")
+
+
 # Dedup, debounce, projection, ranking --------------------------------------------------------------------------------
 
 
@@ -538,6 +558,15 @@ def queue_decode(spark, sf_dir):
     return BY_TYPE().compile(read.records).select("entity", "v")
 
 
+@query("SELECT event_id::VARCHAR AS source_offset, 'decode' AS kind FROM events WHERE event_id % 7 = 3")
+def dead_letters(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    value = F.when(F.col("event_id") % 7 == 3, F.lit("no json")).otherwise(F.to_json(F.struct("event_type")))
+    messages = rows.select(F.lit("events").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"), F.col("event_time").alias("timestamp"), value.cast("binary").alias("value"))
+    letters = queues.dead_letters(queues.decoded(messages, T.StructType([T.StructField("event_type", T.StringType())])).rejected)
+    return letters.select(F.col("headers")[2]["value"].cast("string").alias("source_offset"), F.col("headers")[3]["value"].cast("string").alias("kind"))
+
+
 def _stream(spark, sf_dir) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return files.stream_parquet(spark, f"{sf_dir}/events.parquet", schema).withColumn("event_time", F.col("ts").cast("timestamp"))

@@ -62,6 +62,14 @@ def decoded(messages: DataFrame, schema: T.StructType, event_id: Column | None =
     return Read(good.withColumn("event_id", own).drop("_place"), rejected)
 
 
+def dead_letters(rejected: DataFrame) -> DataFrame:
+    """Rejected rows as messages ``value, headers`` for a dead-letter topic: the bytes as they came, and where and why they failed."""
+    header = lambda name, value: F.struct(F.lit(f"x-{name}").alias("key"), value.cast("string").cast("binary").alias("value"))
+    parts = F.split("source", ":")
+    headers = [header("source-topic", parts[0]), header("source-partition", F.get(parts, F.lit(1))), header("source-offset", F.get(parts, F.lit(2))), header("error-kind", F.col("error"))]
+    return rejected.select(F.col("raw").cast("binary").alias("value"), F.array(*headers).alias("headers"))
+
+
 def sequenced(rows: DataFrame, arn: str, sequence: str = "sequence_number", arrival: str = "arrival") -> DataFrame:
     """Records of a shard-and-sequence queue: ``event_id`` ``arn/sequence``, the arrival as time."""
     return rows.withColumn("event_id", F.concat(F.lit(arn), F.lit("/"), F.col(sequence).cast("string"))).withColumn("event_time", F.col(arrival).cast("timestamp"))
