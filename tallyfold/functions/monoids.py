@@ -263,15 +263,16 @@ class Bloom(Monoid):
 
     def contains(self, states: DataFrame, asked: DataFrame, by: list[str], value: str) -> DataFrame:
         """``asked`` with a boolean ``member``: whether each row's value may be in its group's filter; no filter: no."""
-        name = "_row"
-        rows = asked.withColumn(name, F.monotonically_increasing_id())
-        each = rows.select(*by, name, F.explode_outer(self.positions(F.col(value))).alias("_p")).withColumn("_p", F.col("_p") + 1)
-        each = each.select(*by, name, F.bitmap_bucket_number("_p").alias("page"), F.bitmap_bit_position("_p").alias("_bit"))
+        keys = [*by, value]
+        each = asked.select(*keys).distinct().select(*keys, F.explode_outer(self.positions(F.col(value))).alias("_p")).withColumn("_p", F.col("_p") + 1)
+        each = each.select(*keys, F.bitmap_bucket_number("_p").alias("page"), F.bitmap_bit_position("_p").alias("_bit"))
         pages = states.select(*by, F.explode("v").alias("x")).select(*by, "x.page", "x.bits")
         byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = F.coalesce(F.call_function("getbit", byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
-        found = each.join(pages, [*by, "page"], "left").groupBy(name).agg(F.min(hit).alias("member"))
-        return rows.join(found, name).drop(name)
+        found = each.join(pages, [*by, "page"], "left").groupBy(*keys).agg(F.min(hit).alias("member"))
+        found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "member")
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        return asked.join(found, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 @dataclass(frozen=True)
