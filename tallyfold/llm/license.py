@@ -91,6 +91,18 @@ def shingle_hash(words: Column, at: Column) -> Column:
     return F.xxhash64(F.concat_ws(" ", *[F.get(words, at + k) for k in range(SHINGLE)]))
 
 
+def _reach(shingles: list[str]) -> int:
+    """How far from a window a template's shingles are looked for."""
+    return int(len(shingles) * (1 + STRETCH)) + WINDOW
+
+
+def word_list(text: Column) -> Column:
+    """A text's words; without those at the ends that splitting leaves empty."""
+    words = F.split(ascii_lower(text), _BETWEEN)
+    words = let(words, lambda w: F.when(F.get(w, F.lit(0)) == "", F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w))
+    return let(words, lambda w: F.when(F.get(w, F.size(w) - 1) == "", F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w))
+
+
 def scan_licenses(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: list[Template] | None = None, containment: float = CONTAINMENT,
 ) -> DataFrame:
@@ -121,11 +133,9 @@ def scan_licenses(
     if len(known) > MOST_HASHES:
         raise ValueError(f"templates have {len(known)} minimum hashes; at most {MOST_HASHES} are carried to a task")
 
-    words = F.split(ascii_lower(F.coalesce(F.col(text), F.lit(""))), _BETWEEN)
-    words = let(words, lambda w: F.when(F.get(w, F.lit(0)) == "", F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w))
-    words = let(words, lambda w: F.when(F.get(w, F.size(w) - 1) == "", F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w))
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(text_key(F.col(doc_id), body).alias("key"), words.alias("words")).filter(F.size("words") >= SHINGLE)
+    texts = docs.select(text_key(F.col(doc_id), body).alias("key"), body.alias("text"))
+    rows = texts.select("key", word_list(F.col("text")).alias("words")).filter(F.size("words") >= SHINGLE)
     # A row per window with its own words only: whatever plan runs this, no row holds a whole text.
     cut = let(F.col("words"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE, F.lit(WINDOW)), lambda k: F.struct(k.alias("at"), F.slice(w, k + 1, F.lit(WINDOW + SHINGLE - 1)).alias("w"))))
     windows = rows.select("key", F.explode(cut).alias("x")).select("key", "x.at", F.col("x.w").alias("w"))
@@ -137,13 +147,19 @@ def scan_licenses(
     retrieved = windows.filter(reduce(Column.__or__, [m.isin(known) for m in least])).select("key", "at").distinct()
 
     # Exact shingles around each window; texts come back for documents that have one.
-    asked = small_side(checkpointed(retrieved.withColumnRenamed("key", "asked")))
-    near = rows.join(asked, F.col("key") == F.col("asked")).select("key", "words", "at")
+    asked = small_side(checkpointed(retrieved.groupBy(F.col("key").alias("asked")).agg(F.collect_list("at").alias("ats"))))
+    far = max(_reach(own) for own in shingles)
+
+    def around(s: Column) -> Column:
+        low = lambda k: F.greatest(F.lit(0), k - far)
+        return F.transform(s["ats"], lambda k: F.struct(k.alias("at"), (k - low(k)).alias("here"), F.slice(s["words"], low(k) + 1, k - low(k) + F.lit(far + SHINGLE)).alias("w")))
+
+    near = texts.join(asked, F.col("key") == F.col("asked")).select("key", F.struct(word_list(F.col("text")).alias("words"), "ats").alias("s"))
+    near = near.select("key", F.explode(let(F.col("s"), around)).alias("x")).select("key", "x.at", "x.here", F.col("x.w").alias("w"))
     each = []
     for number, (template, own) in enumerate(zip(templates, shingles, strict=True)):
-        reach = int(len(own) * (1 + STRETCH)) + WINDOW
-        places = F.sequence(F.greatest(F.lit(0), F.col("at") + WINDOW - reach), F.least(F.size("words") - SHINGLE, F.col("at") + reach - 1))
-        here = F.transform(places, lambda at: F.concat_ws(" ", *[F.get("words", at + j) for j in range(SHINGLE)]))
+        places = F.sequence(F.greatest(F.lit(0), F.col("here") + WINDOW - _reach(own)), F.least(F.size("w") - SHINGLE, F.col("here") + _reach(own) - 1))
+        here = F.transform(places, lambda at: F.concat_ws(" ", *[F.get("w", at + j) for j in range(SHINGLE)]))
         share = F.size(F.array_intersect(F.array(*map(F.lit, own)), here)) / F.lit(float(len(set(own))))
         each.append(F.struct(F.lit(number).alias("template"), F.lit(template.license).alias("license"), share.alias("containment")))
     found = near.select("key", "at", F.explode(F.array(*each)).alias("x")).filter(F.col("x.containment") >= containment)
