@@ -188,15 +188,16 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     body = F.coalesce(F.col(text), F.lit(""))
     ids = docs.select(F.col(doc_id).cast("bigint").alias("id"))
     shift = _bucket_shift(ids)
-    # Nulls have a bucket of their own before all others; one over the whole range of ids can't collide with it.
-    bucket = F.when(F.col(doc_id).isNull(), F.lit(-(1 << 63))).otherwise(F.shiftright(F.col(doc_id).cast("bigint"), shift))
+    # Nulls have a bucket of their own before all others. A bucket is never null, or a test for that would be put below
+    # one of the two reads of the shuffled rows, and they would be shuffled twice.
+    bucket = F.coalesce(F.shiftright(F.col(doc_id).cast("bigint"), shift), F.lit(-(1 << 63)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), body.alias("text"), bucket.alias("bucket")).repartition("bucket")
     rows = rows.withColumn("own", paragraphs(F.col("text")))
     rows = rows.withColumn("cells", sketch(F.col("own")))
     order = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
     carried = F.struct("text", "own", "cells")
     placed = rows.withColumn("at", F.row_number().over(order)).withColumn("next", F.lead(carried).over(order))
-    after = successors(ids.select(F.when(F.col("id").isNull(), F.lit(-(1 << 63))).otherwise(F.shiftright("id", shift)).alias("key")).distinct())
+    after = successors(ids.select(F.coalesce(F.shiftright("id", shift), F.lit(-(1 << 63))).alias("key")).distinct())
     first = placed.filter("at = 1").select(F.col("bucket").alias("from"), carried.alias("first"))
     jump = first.join(after, first["from"] == after["after"]).select(F.col("key").alias("to"), "first")
     out = placed.join(jump, placed["bucket"] == jump["to"], "left").select("doc_id", "text", "own", "cells", F.coalesce("next", "first").alias("next"))
