@@ -13,6 +13,7 @@ Words are compared by a 64-bit hash of their bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -72,31 +73,41 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     return hashes * np.uint64(0xBF58476D1CE4E5B9), np.searchsorted(begin, starts)
 
 
+@dataclass(frozen=True)
 class BenchmarkIndex:
-    """Every window of a block of benchmark items, by its length in words."""
+    """Every window of a block of benchmark items, by its length in words.
 
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+    ``windows``: length -> (distinct windows, where each one's uses begin, items
+    and places of the uses); ``names`` are the items' ids, ``vocabulary`` the
+    sorted hashes of their words.
+    """
+
+    vocabulary: np.ndarray
+    names: list[str]
+    windows: dict[int, tuple]
+    least: int
+    most: int
+
+    @classmethod
+    def of(cls, items: list[tuple[str, str]], window: int = WINDOW) -> BenchmarkIndex:
         texts = [t.encode() for _, t in items]
         starts = np.cumsum([0, *map(len, texts)])
         hashes, at = word_hashes(np.frombuffer(b"".join(texts), np.uint8), starts)
-        self.vocabulary, ids = np.unique(hashes, return_inverse=True)
+        vocabulary, ids = np.unique(hashes, return_inverse=True)
         ids = ids.astype(np.uint32) + 1
-        self.names = sorted({name for name, _ in items})
-        number = {name: k for k, name in enumerate(self.names)}
+        names = sorted({name for name, _ in items})
+        number = {name: k for k, name in enumerate(names)}
         places: dict[int, list[tuple[int, int]]] = {}
         for (name, _), lo, hi in zip(items, at, at[1:], strict=False):
             if n := min(window, hi - lo):
                 places.setdefault(int(n), []).extend((number[name], int(p)) for p in range(lo, hi - n + 1))
-        #: length -> (distinct windows, where each one's uses begin, items and places of the uses)
-        self.windows = {}
+        windows = {}
         for n, found in places.items():
             item, place = np.array(found).T
-            keys = self.keys(ids, place, n)
-            distinct, which = np.unique(keys, return_inverse=True)
+            distinct, which = np.unique(cls.keys(ids, place, n), return_inverse=True)
             order = np.argsort(which, kind="stable")
-            first = np.searchsorted(which[order], np.arange(len(distinct) + 1))
-            self.windows[n] = (distinct, first, item[order], place[order])
-        self.least, self.most = min(places, default=0), max(places, default=0)
+            windows[n] = (distinct, np.searchsorted(which[order], np.arange(len(distinct) + 1)), item[order], place[order])
+        return cls(vocabulary, names, windows, min(places, default=0), max(places, default=0))
 
     @staticmethod
     def keys(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -200,12 +211,14 @@ def _search(index: BenchmarkIndex, texts: pa.Array, shard_bytes: int) -> pa.Arra
 
 
 def _matcher(df: DataFrame, items: list[tuple[str, str]], window: int, shard_bytes: int):
-    index = df.sparkSession.sparkContext.broadcast(BenchmarkIndex(items, window))
+    # Broadcast as plain values, which executors without this package can read.
+    parts = df.sparkSession.sparkContext.broadcast(vars(BenchmarkIndex.of(items, window)))
 
     @F.arrow_udf(RESULT)
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = BenchmarkIndex(**parts.value)
         for texts in batches:
-            yield _search(index.value, texts, shard_bytes)
+            yield _search(index, texts, shard_bytes)
 
     return match
 

@@ -230,13 +230,15 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", into:
     size fixed by n-grams and code, is broadcast.  Repeated rows each keep a
     row; the column gets another name if ``docs`` has one like it.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Broadcast as plain values, which executors without this package can read.
+    parts = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     @F.arrow_udf(RESULT)
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = np.array([*shared.value.languages, UNDETERMINED], object)
+        own = LanguageModel(**parts.value)
+        names = np.array([*own.languages, UNDETERMINED], object)
         for texts in batches:
-            best, score, close = shared.value.predict(texts)
+            best, score, close = own.predict(texts)
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score), pa.array(close)], ["lang_pred", "score", "ambiguous"])
 
     name = free_name(docs, into)

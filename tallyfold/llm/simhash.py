@@ -40,7 +40,9 @@ def fingerprints(docs: DataFrame, *, text: str = "text", shingle: int = SHINGLE,
     """All rows of ``docs`` without the text, with a 64-bit fingerprint, and that column's name.
 
     A null text, or one without words, has fingerprint zero.  A text of fewer
-    words than a shingle is one shingle.  Repeated rows each keep a row.
+    words than a shingle is one shingle.  Repeated rows each keep a row.  Rows
+    are told apart by their place, so ``docs`` should be files or a checkpoint,
+    whose rows keep their places when a lost part is read again.
     """
     name = free_name(docs, into)
     keep = [c for c in docs.columns if c != text]
