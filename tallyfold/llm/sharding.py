@@ -20,9 +20,10 @@ from .common import checkpointed
 SHARDS = 40
 #: Bytes that each document counts besides its text.
 OVERHEAD = 16
-#: Items differenced in one task.
+#: Items differenced in one task, about.
 BLOCK_ITEMS = 8192
-#: Blocks differenced on the driver: at most so many times SHARDS items, besides LARGE of them.
+#: The last differencing, on the driver, has at most the parts of so many blocks, besides LARGE groups. Where there are
+#: more groups than that, they are dealt into so many blocks at least: many small parts balance better than few large ones.
 LAST_BLOCKS = 256
 #: Groups above 1 / LARGE of all bytes, at most LARGE of them, skip the blocks.
 LARGE = 4096
@@ -73,7 +74,7 @@ def differenced(sizes: list[int], ways: int) -> list[int]:
 
 
 def assigned(items: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``(item, shard)`` for items with columns ``item`` (unique) and ``size``."""
+    """``(item, shard)`` for items with columns ``item`` (a unique string) and ``size``."""
 
     def block(group: pa.Table) -> pa.Table:
         group = group.sort_by([("size", "descending"), ("item", "ascending")])
@@ -84,32 +85,26 @@ def assigned(items: DataFrame, shards: int = SHARDS) -> DataFrame:
     large = items.filter(F.col("size") > F.lit((known["bytes"] or 0) / LARGE))
     small = items.filter(F.col("size") <= F.lit((known["bytes"] or 0) / LARGE))
     n = known["n"]
-    levels, blocks = [], -(-n // BLOCK_ITEMS)
+    levels = []
     # A level's item names the block and the part of the level below.
-    while n > 1:
-        dealt = small.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(max(1, blocks))))
-        done = checkpointed(dealt.groupBy("block").applyInArrow(block, f"item {small.schema['item'].dataType.simpleString()}, size bigint, block bigint, part int"))
+    while n > LAST_BLOCKS * shards:
+        blocks = max(LAST_BLOCKS, -(-n // BLOCK_ITEMS))
+        dealt = small.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
+        done = checkpointed(dealt.groupBy("block").applyInArrow(block, "item string, size bigint, block bigint, part int"))
         levels.append(done)
         small = done.groupBy("block", "part").agg(F.sum("size").alias("size")).select(F.concat_ws(":", "block", "part").alias("item"), "size")
-        if blocks <= LAST_BLOCKS:
-            break
         n = blocks * shards
-        blocks = -(-n // BLOCK_ITEMS)
-    if not levels:
-        return items.select("item", F.lit(0).alias("shard"))
     # At most LAST_BLOCKS * shards parts and LARGE groups: a bound that does not grow with the input.
     top = small.select("item", "size", F.lit(False).alias("own")).union(large.select("item", "size", F.lit(True)))
     top = sorted(map(tuple, top.collect()), key=lambda x: (-x[1], x[0]))
     parts = differenced([x[1] for x in top], shards)
-    spark = items.sparkSession
     rows = [(x[0], x[2], p) for x, p in zip(top, parts, strict=True)]
-    last = spark.createDataFrame(rows, "name string, own boolean, shard int")
-    own = last.filter("own").select(F.col("name").alias("item"), "shard")
-    up = last.filter("not own").select("name", "shard")
+    last = items.sparkSession.createDataFrame(rows, "item string, own boolean, shard int")
+    up = last.filter("not own").select("item", "shard")
     for done in reversed(levels):
-        below = done.withColumn("name", F.concat_ws(":", "block", "part")).join(up, "name").select("item", "shard")
-        up = below.withColumnRenamed("item", "name")
-    return below.union(own)
+        names = up.select(F.col("item").alias("name"), "shard")
+        up = done.withColumn("name", F.concat_ws(":", "block", "part")).join(names, "name").select("item", "shard")
+    return up.union(last.filter("own").select("item", "shard"))
 
 
 def numbered(rows: DataFrame, by: str, order: list[str], per_task: int = SLOT_ROWS) -> DataFrame:
