@@ -247,7 +247,9 @@ class Bloom(Monoid):
         return rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page", "bits"))).alias("v"))
 
     def aggregate(self, events: DataFrame, by: list[str]) -> DataFrame:
-        each = events.select(*by, F.explode(self.positions(F.col("value"))).alias("p")).withColumn("p", F.col("p") + 1)
+        # Distinct values first: they are hashed, while building pages sorts its rows.
+        values = events.select(*by, F.col("value").alias("value")).distinct()
+        each = values.select(*by, F.explode(self.positions(F.col("value"))).alias("p")).withColumn("p", F.col("p") + 1)
         pages = each.groupBy(*by, F.bitmap_bucket_number("p").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
         return self._pages(pages, by)
 

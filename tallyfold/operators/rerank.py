@@ -25,8 +25,10 @@ def rerank(
     """
     found = candidates.orderBy(F.desc(relevance), item).limit(recall)
     entity = F.col(item).cast("string")
+    # At most ``recall`` ids go out to where the counters are; only their counters come back.
+    wanted = F.broadcast(found.select(entity.alias("entity")))
     for name, counts in (("total", total), ("recent", recent)):
-        side = counts.select(F.col("entity").alias(f"_{name}"), F.col("v").alias(name))
+        side = counts.join(wanted, "entity", "left_semi").select(F.col("entity").alias(f"_{name}"), F.col("v").alias(name))
         found = found.join(side, entity == F.col(f"_{name}"), "left").drop(f"_{name}").withColumn(name, F.coalesce(name, F.lit(0)))
     return found.withColumn("score", score(F.col(relevance), F.col("recent"), F.col("total"))).orderBy(F.desc("score"), item).limit(top)
 

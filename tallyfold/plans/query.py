@@ -17,6 +17,16 @@ from ..functions.windows import ALL_TIME, Window
 from ..operators.pipeline import Pipeline
 
 
+#: Entities of one read that are sent to the state; a read of more is a join by shuffle.
+SENT_ENTITIES = 100_000
+
+
+def _sent(asked: DataFrame) -> DataFrame:
+    """The distinct entities of a read, marked for a broadcast if they were counted to be within the bound."""
+    wanted = asked.select("entity").distinct()
+    return F.broadcast(wanted) if wanted.limit(SENT_ENTITIES + 1).count() <= SENT_ENTITIES else wanted
+
+
 class Reader:
     """Answers of one pipeline's state.
 
@@ -66,11 +76,11 @@ class Reader:
         return rows.withColumn("v", self.monoid.finalize(v)).withColumn("present", F.coalesce("present", F.lit(False))).select("ord", "entity", "v", "present")
 
     def get_many(self, asked: DataFrame) -> DataFrame:
-        return self._many(asked, self.state.filter(F.col("bucket") == ALL_TIME).select("entity", "v"))
+        rows = self.state.filter(F.col("bucket") == ALL_TIME).join(_sent(asked), "entity", "left_semi")
+        return self._many(asked, rows.select("entity", "v"))
 
     def _narrowed(self, asked: DataFrame, low: int, high: int) -> DataFrame:
-        wanted = asked.select("entity").distinct()
-        rows = self.state.filter(F.col("bucket").between(low, high)).join(wanted, "entity", "left_semi")
+        rows = self.state.filter(F.col("bucket").between(low, high)).join(_sent(asked), "entity", "left_semi")
         return self.monoid.merge(rows.select("entity", "v"), ["entity"])
 
     def window_many(self, asked: DataFrame, span: dt.timedelta, now: dt.datetime) -> DataFrame:
@@ -84,7 +94,7 @@ class Reader:
 
     def over(self, entities: DataFrame, low: int = ALL_TIME, high: int = ALL_TIME) -> DataFrame:
         """``v``: one answer over the union of several entities' states, within buckets."""
-        rows = self.state.filter(F.col("bucket").between(low, high)).join(entities.select("entity").distinct(), "entity", "left_semi")
+        rows = self.state.filter(F.col("bucket").between(low, high)).join(_sent(entities), "entity", "left_semi")
         merged = self.monoid.merge(rows.select(F.lit(0).alias("all"), "v"), ["all"])
         return merged.select(self.monoid.finalize(F.col("v")).alias("v"))
 
@@ -115,7 +125,7 @@ def snapshot_plus(snapshot: DataFrame, delta: Reader, taken_at: dt.datetime, now
 
 def warm(reader: Reader, entities: DataFrame, span: dt.timedelta | None = None, now: dt.datetime | None = None) -> tuple[DataFrame, int]:
     """The persisted state rows of some entities, for repeated reads, and how many there are."""
-    rows = reader.state.join(entities.select("entity").distinct(), "entity", "left_semi")
+    rows = reader.state.join(_sent(entities), "entity", "left_semi")
     if span is not None:
         rows = rows.filter(F.col("bucket").between(*reader._window().last(now, span)))
     rows = rows.persist()

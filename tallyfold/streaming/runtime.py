@@ -67,7 +67,7 @@ class Bound:
             latest = old.groupBy("kind", "key").agg(F.max("t").alias("t"))
             last = latest if last is None else last.unionByName(latest)
         if o.dedup:
-            rows = unseen(deduplicated(rows, "_event_id"), self.table.seen().withColumnRenamed("event_id", "_event_id"), "_event_id")
+            rows = unseen(deduplicated(rows, "_event_id"), self.table.seen(now=now).withColumnRenamed("event_id", "_event_id"), "_event_id")
             ids = rows.select(F.col("_event_id").cast("string").alias("event_id"))
         began = time.monotonic()
         version = self.table.merge(p.compile(rows), stream=stream, batch=batch, ids=ids, last=last, now=now)

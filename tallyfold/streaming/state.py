@@ -90,6 +90,8 @@ class StateTable:
     hook_errors: bool = False
     #: Segments beyond which a merge compacts.
     most_segments: int = 8
+    #: How long accepted ids are kept for dedup (None: forever).
+    ids_kept: dt.timedelta | None = None
     log: Callable[[str], None] = print
 
     def __post_init__(self):
@@ -101,7 +103,7 @@ class StateTable:
         return int(names[-1]) if names else 0
 
     def commit_info(self, version: int) -> dict:
-        return json.loads(self.folder.read(f"_commits/{_numbered(version)}")) if version else {"batches": {}, "segments": [], "debounce": None}
+        return json.loads(self.folder.read(f"_commits/{_numbered(version)}")) if version else {"batches": {}, "segments": [], "ids": [], "debounce": None}
 
     def _part(self, part: str, version: int) -> str:
         return f"{self.path}/{part}/v={_numbered(version)}"
@@ -123,11 +125,11 @@ class StateTable:
         rows = self._segments(segments)
         return self._merged(rows) if len(segments) > 1 else rows
 
-    def seen(self, version: int | None = None) -> DataFrame:
-        """Ids of accepted events up to a version."""
-        version = self.version() if version is None else version
-        parts = [int(n[2:]) for n in self.folder.names("ids") if n.startswith("v=")]
-        paths = [self._part("ids", v) for v in parts if v <= version]
+    def seen(self, version: int | None = None, now: dt.datetime | None = None) -> DataFrame:
+        """Ids of accepted events up to a version, as long as they are kept."""
+        now = now or dt.datetime.now(dt.timezone.utc)
+        parts = self.commit_info(self.version() if version is None else version)["ids"]
+        paths = [self._part("ids", n) for n, at in parts if self._kept(at, now)]
         schema = T.StructType([T.StructField("event_id", T.StringType())])
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
@@ -159,6 +161,7 @@ class StateTable:
         rows.write.parquet(self._part("state", version))
         if ids is not None:
             ids.select(F.col("event_id").cast("string")).filter("event_id <> ''").distinct().write.parquet(self._part("ids", version))
+            info["ids"] = [x for x in info["ids"] if self._kept(x[1], now)] + [[version, now.isoformat()]]
         if last is not None:
             last.write.parquet(self._part("debounce", version))
             info["debounce"] = version
@@ -174,6 +177,9 @@ class StateTable:
                 self.log(f"hook after version {version} failed: {e}")
         return version
 
+    def _kept(self, at: str, now: dt.datetime) -> bool:
+        return self.ids_kept is None or now - dt.datetime.fromisoformat(at) <= self.ids_kept
+
     def _commit(self, version: int, info: dict, now: dt.datetime) -> None:
         if not self.folder.create(f"_commits/{_numbered(version)}", json.dumps({**info, "at": now.isoformat()})):
             raise VersionConflict(f"{self.path}: version {version} was committed by another writer")
@@ -191,10 +197,10 @@ class StateTable:
         return version
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove state and debounce files that none of the newest ``keep`` versions use; ids stay."""
+        """Remove files that none of the newest ``keep`` versions use."""
         newest = range(max(1, self.version() - keep + 1), self.version() + 1)
         infos = [self.commit_info(v) for v in newest]
-        used = {"state": {n for i in infos for n in i["segments"]}, "debounce": {i["debounce"] for i in infos}}
+        used = {"state": {n for i in infos for n in i["segments"]}, "ids": {n for i in infos for n, _ in i["ids"]}, "debounce": {i["debounce"] for i in infos}}
         for part, numbers in used.items():
             for name in self.folder.names(part):
                 if name.startswith("v=") and int(name[2:]) <= self.version() and int(name[2:]) not in numbers:

@@ -104,6 +104,15 @@ def test_snapshot_then_live_with_redeliveries(spark, tmp_path):
     assert totals(bound.table) == {"cust-a": 225, "cust-b": 225, "c": 1001}
 
 
+def test_ids_are_kept_for_a_while(spark, tmp_path):
+    bound = Bound(order_pipeline(), StateTable(spark, str(tmp_path), monoids.sum_(), ids_kept=DAY), Options(dedup=True))
+    for batch, (now, total) in enumerate(((NOW, 1), (NOW + DAY / 2, 1), (NOW + 2 * DAY, 2), (NOW + 4 * DAY, 3))):
+        bound.apply(orders(spark, ("1", "a", 1)), "s", batch, now)
+        assert totals(bound.table)["a"] == total and len(bound.table.commit_info(batch + 1)["ids"]) <= 2
+    bound.table.vacuum(keep=1)
+    assert bound.table.seen(now=NOW + 4 * DAY).count() == 1
+
+
 def test_debounce_over_batches(spark, tmp_path):
     p = presets.counter("clicks", F.col("customer"))
     bound = Bound(p, StateTable(spark, str(tmp_path), monoids.count()), Options(key_debounce=dt.timedelta(minutes=10)))
