@@ -26,13 +26,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a few numbers and a short key that may be broadcast; what has more rows is shuffled.
-BROADCAST_ROWS = 100_000
+#: Rows, and bytes as JSON, of a table that may be broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, marked for a broadcast if it has been counted to be within the bound."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, marked for a broadcast if it has been counted and measured to be within both bounds."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))
+    found = df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= BROADCAST_ROWS and found["bytes"] <= BROADCAST_BYTES else df
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -12,13 +12,12 @@ from __future__ import annotations
 import re._constants as kinds
 import re._parser as parser
 from dataclasses import dataclass
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, match_spans, small_side, text_key
+from .common import checkpointed, match_spans, small_side, text_key
 
 
 @dataclass(frozen=True)
