@@ -16,7 +16,7 @@ def test_stages_keep_what_they_should(spark, sf_dir, tmp_path):
         if name != "sharding":
             assert docs.columns == columns
     before, after = kept["language"]
-    assert {r.doc_id for r in before if any(c.isalpha() for c in r.text)} >= {r.doc_id for r in after} and len(after) >= 0.97 * len(before)
+    assert {r.doc_id for r in after} == {r.doc_id for r in before if any(c.isalpha() for c in r.text or "")}
     before, after = kept["near_duplicates"]
     comp = linked([fingerprint(r.text) for r in before])
     low = {}
