@@ -69,6 +69,15 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def exploded(df: DataFrame, array: Column, into: str, *columns) -> DataFrame:
+    """``columns`` and a row per element of an array without nulls.
+
+    An inner ``explode`` is preceded by a test that the array isn't empty, which
+    computes the array again; an outer one isn't.
+    """
+    return df.select(*columns, F.explode_outer(array).alias(into)).filter(F.col(into).isNotNull())
+
+
 #: Matches whose places are added up in one go; longer lists go by runs of so many.
 RUN = 512
 

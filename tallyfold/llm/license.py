@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, let, small_side, text_key
+from .common import ascii_lower, checkpointed, exploded, let, small_side, text_key
 
 SHINGLE = 5
 #: Shingles of a window.
@@ -138,7 +138,7 @@ def scan_licenses(
     rows = texts.select("key", word_list(F.col("text")).alias("words")).filter(F.size("words") >= SHINGLE)
     # A row per window with its own words only: whatever plan runs this, no row holds a whole text.
     cut = let(F.col("words"), lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - SHINGLE, F.lit(WINDOW)), lambda k: F.struct(k.alias("at"), F.slice(w, k + 1, F.lit(WINDOW + SHINGLE - 1)).alias("w"))))
-    windows = rows.select("key", F.explode(cut).alias("x")).select("key", "x.at", F.col("x.w").alias("w"))
+    windows = exploded(rows, cut, "x", "key").select("key", "x.at", F.col("x.w").alias("w"))
     # The last window repeats its last shingle, which changes no minimum.
     hashes = [shingle_hash(F.col("w"), F.least(F.lit(j), F.size("w") - SHINGLE)).alias(f"h{j}") for j in range(WINDOW)]
     # The row number keeps the filter, which uses each hash many times, from being moved below their computation.
@@ -155,14 +155,14 @@ def scan_licenses(
         return F.transform(s["ats"], lambda k: F.struct(k.alias("at"), (k - low(k)).alias("here"), F.slice(s["words"], low(k) + 1, k - low(k) + F.lit(far + SHINGLE)).alias("w")))
 
     near = texts.join(asked, F.col("key") == F.col("asked")).select("key", F.struct(word_list(F.col("text")).alias("words"), "ats").alias("s"))
-    near = near.select("key", F.explode(let(F.col("s"), around)).alias("x")).select("key", "x.at", "x.here", F.col("x.w").alias("w"))
+    near = exploded(near, let(F.col("s"), around), "x", "key").select("key", "x.at", "x.here", F.col("x.w").alias("w"))
     each = []
     for number, (template, own) in enumerate(zip(templates, shingles, strict=True)):
         places = F.sequence(F.greatest(F.lit(0), F.col("here") + WINDOW - _reach(own)), F.least(F.size("w") - SHINGLE, F.col("here") + _reach(own) - 1))
         here = F.transform(places, lambda at: F.concat_ws(" ", *[F.get("w", at + j) for j in range(SHINGLE)]))
         share = F.size(F.array_intersect(F.array(*map(F.lit, own)), here)) / F.lit(float(len(set(own))))
         each.append(F.struct(F.lit(number).alias("template"), F.lit(template.license).alias("license"), share.alias("containment")))
-    found = near.select("key", "at", F.explode(F.array(*each)).alias("x")).filter(F.col("x.containment") >= containment)
+    found = exploded(near, F.array(*each), "x", "key", "at").filter(F.col("x.containment") >= containment)
     best = found.groupBy("key", "x.template", "x.license").agg(F.max(F.struct("x.containment", (-F.col("at")).alias("back"))).alias("b"))
     best = best.select("key", F.struct("license", "template", "b.containment", (-F.col("b.back")).alias("at")).alias("m"))
     by_template = lambda a, b: F.when(a["template"] < b["template"], -1).when(a["template"] > b["template"], 1).otherwise(0)
