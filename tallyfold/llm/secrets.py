@@ -17,7 +17,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, match_spans, small_side, text_key
+from .common import checkpointed, exploded, match_spans, small_side, text_key
 
 
 @dataclass(frozen=True)
@@ -128,7 +128,7 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     grams = sorted({g for _, terms in queries for g in terms})
     low = docs.select("key", F.lower("text").alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
-    postings = low.select("key", F.explode(present).alias("gram"))
+    postings = exploded(low, present, "gram", "key")
     number = {g: k for k, g in enumerate(grams)}
     rows = [(c, rule, number[g], 1 << at, (1 << len(terms)) - 1) for c, (rule, terms) in enumerate(queries) for at, g in enumerate(sorted(terms))]
     uses = docs.sparkSession.createDataFrame(rows, "term int, rule int, gram int, bit bigint, every bigint")  # bounded by the rules
