@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, let, match_spans, small_side
+from .common import checkpointed, exploded, let, match_spans, small_side
 from .secrets import span_report, spans_sql
 
 __all__ = ["find_personal_data", "sanitised", "span_report"]
@@ -98,7 +98,7 @@ def find_personal_data(
     line = found.filter("lines is not null").select("key", "entities", F.explode("lines").alias("line"))
     own = F.filter("entities", lambda e: (e["start"] < F.col("line.stop")) & (e["stop"] > F.col("line.start")))
     line = line.select("key", "line", own.alias("own"))
-    word = line.select("key", "own", "line.start", F.explode(match_spans(F.col("line.match"), TERM)).alias("w"))
+    word = exploded(line, match_spans(F.col("line.match"), TERM), "w", "key", "own", "line.start")
     word = word.select("key", "own", (F.col("start") + F.col("w.start")).alias("start"), (F.col("start") + F.col("w.stop")).alias("stop"), F.lower("w.match").alias("term"))
     word = word.filter(~F.exists("own", lambda e: (e["start"] < F.col("stop")) & (e["stop"] > F.col("start"))))
     beside = word.select("key", "start", "stop", "term", F.explode(F.array_distinct(F.transform("own", lambda e: F.concat_ws(":", e["kind"], F.lower(e["value"]))))).alias("entity"))
@@ -109,7 +109,7 @@ def find_personal_data(
     value = F.explode(F.array_distinct(F.transform("entities", lambda e: F.concat_ws(":", e["kind"], F.lower(e["value"])))))
     held = found.select("key", value.alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     # Documents of each term, over all texts: counted before any join, by a 64-bit hash that stands for the term.
-    terms = rows.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(x)))).alias("hash"))
+    terms = exploded(rows, F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)), lambda x: F.xxhash64(x))), "hash")
     spread = terms.groupBy("hash").agg(F.count(F.lit(1)).alias("n_term"))
     n = found.count()
     given = F.col("both") / F.col("n_term")
