@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -232,17 +232,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return prints.join(named, prints["p"] == named["q"]).select("doc_id", F.col("p").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", find: Callable[..., DataFrame] = near_duplicates, **options) -> DataFrame:
     """``docs`` with one row of each component of near duplicates: the one of least id, then of least text hash.
 
-    All columns stay.  Of rows equal in id and text any one stays.
+    ``find`` tells the components and takes ``options``.  All columns stay.  Of
+    rows equal in id and text any one stays.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     key = F.struct(F.col(doc_id).alias("id"), F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body).alias("b"))
     name = free_name(docs, "row_key")
     # The key stands in for the id, so that a component's least key names its keeper.
     thin = docs.select(key.alias(name), F.col(text).alias("text"))
-    rows = near_duplicates(thin, doc_id=name, shingle=shingle, budget=budget)
+    rows = find(thin, doc_id=name, **options)
     kept = rows.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     kept = checkpointed(kept.select(F.col("doc_id.id").alias("i"), F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b"), "n"))
     keyed = docs.withColumn(name, key)
