@@ -33,6 +33,8 @@ EXHAUSTIVE = 6
 AMBIGUOUS = 0.05
 #: Text bytes whose n-grams are held at once.
 CHUNK_BYTES = 1 << 18
+#: Labelled documents, about, whose losses tell how large a loss is too large; and the share of them that is taken as typical.
+BOUND_ROWS, TYPICAL = 4_000, 0.999
 UNDETERMINED = "und"
 
 RESULT = "struct<lang_pred: string, score: double, ambiguous: boolean>"
@@ -152,8 +154,8 @@ class LanguageModel:
         each = np.logaddexp(0, -margin[:, None, :] * sign[None])
         return (each * self.reliability).sum(2) / max(self.reliability.sum(), 1e-9)
 
-    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text the language's number, its share, and whether its lead is small."""
+    def predict(self, texts: pa.Array, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text the language's number (-1 with share 0: all lose more than the bound), its share, and whether its lead is small."""
         losses = self.losses(mean_answers(texts, self.weights))
         if losses.shape[1] == 0:
             return np.zeros(len(texts), int), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -162,7 +164,8 @@ class LanguageModel:
         best = losses.argmin(1)
         top = share[np.arange(len(best)), best]
         share[np.arange(len(best)), best] = 0
-        return best, np.clip(top, 0, 1), top - share.max(1) < AMBIGUOUS
+        lost = losses.min(1) > bound
+        return np.where(lost, -1, best), np.where(lost, 0, np.clip(top, 0, 1)), lost | (top - share.max(1) < AMBIGUOUS)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,11 +225,45 @@ def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: st
     return LanguageModel(languages, code, weights, spread, right)
 
 
-def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", into: str = "language") -> tuple[DataFrame, str]:
+def loss_bound(docs: DataFrame, model: LanguageModel, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = BOUND_ROWS) -> float:
+    """The least loss that speaks for no learned language at all.
+
+    Classifiers that know nothing of a text answer zero, a loss of log 2 for
+    every codeword.  The bound is midway between that and what about
+    ``sample_rows`` labelled texts with a letter lose, or even mixes of two
+    languages in equal parts.  No bound without such texts, or with fewer than two languages.
+    """
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}") & ~held_out(F.col(doc_id)))
+    n = labelled.count()
+    if n == 0 or len(model.languages) < 2:
+        return np.inf
+    if n > sample_rows:
+        labelled = labelled.filter(F.pmod(F.xxhash64(doc_id, F.lit("bound")), F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
+    parts = docs.sparkSession.sparkContext.broadcast(vars(model))
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = LanguageModel(**parts.value)
+        for batch in batches:
+            each = mean_answers(batch["text"], own.weights)
+            yield pa.record_batch({"lang": batch["lang"], "answers": pa.array(each.tolist(), pa.list_(pa.float64()))})
+
+    found = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(answers, "lang string, answers array<double>").toArrow()
+    if not len(found):
+        return np.inf
+    each, of = np.array(found["answers"].to_pylist()), np.array(found["lang"].to_pylist())
+    typical = np.quantile(model.losses(each).min(1), TYPICAL)
+    means = [each[of == x].mean(0) for x in sorted(set(of))]
+    mixes = [(a + b) / 2 for k, a in enumerate(means) for b in means[:k]]
+    if mixes:
+        typical = max(typical, model.losses(np.array(mixes)).min(1).max())
+    return float((typical + np.log(2)) / 2) if typical < np.log(2) else np.inf
+
+
+def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", into: str = "language", bound: float = np.inf) -> tuple[DataFrame, str]:
     """``docs`` with a struct column ``lang_pred, score, ambiguous``, and that column's name.
 
-    ``und`` with score 0 where the text is null or has no letter, or where no
-    language was learned.  Only the text is read.  No shuffle: the model, of a
+    ``und`` with score 0 where the text is null or has no letter, where no
+    language was learned, or where every codeword loses more than ``bound``.  Only the text is read.  No shuffle: the model, of a
     size fixed by n-grams and code, is broadcast.  Repeated rows each keep a
     row; the column gets another name if ``docs`` has one like it.
     """
@@ -238,7 +275,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", into:
         own = LanguageModel(**parts.value)
         names = np.array([*own.languages, UNDETERMINED], object)
         for texts in batches:
-            best, score, close = own.predict(texts)
+            best, score, close = own.predict(texts, bound)
             yield pa.StructArray.from_arrays([pa.array(names[best], pa.string()), pa.array(score), pa.array(close)], ["lang_pred", "score", "ambiguous"])
 
     name = free_name(docs, into)
