@@ -21,6 +21,7 @@ __all__ = ["find_personal_data", "sanitised", "span_report"]
 #: Documents that must have entity and term together.
 SUPPORT = 2
 #: Bits of pointwise mutual information, and probability of the entity given the term, from which a term discloses.
+#: From the probability REMOVE on, the bits may be those of all documents with both.
 BITS, PROBABILITY = 4.0, 0.5
 #: Probability from which a disclosing term is removed rather than generalised.
 REMOVE = 0.9
@@ -114,7 +115,9 @@ def find_personal_data(
     n = found.count()
     given = F.col("both") / F.col("n_term")
     information = F.log2(given * F.lit(float(n)) / F.col("n_entity"))
-    told = pairs.withColumn("hash", F.xxhash64("term")).join(spread, "hash").join(held, "entity").withColumn("given", given).filter((F.col("given") >= probability) & (information >= bits))
+    # All but certain terms of a frequent entity have few bits a document; all their documents together must have them.
+    enough = (information >= bits) | ((F.col("given") >= REMOVE) & (F.col("both") * information >= bits))
+    told = pairs.withColumn("hash", F.xxhash64("term")).join(spread, "hash").join(held, "entity").withColumn("given", given).filter((F.col("given") >= probability) & enough)
     told = checkpointed(told.select(F.col("term").alias("t"), F.col("entity").alias("e"), (F.col("given") >= REMOVE).alias("remove")))
     hits = beside.join(small_side(told), (F.col("term") == F.col("t")) & (F.col("entity") == F.col("e")), "inner")
     hits = hits.groupBy("key", "start", "stop").agg(F.max("remove").alias("remove"))
