@@ -25,8 +25,8 @@ SUPPORT = 2
 BITS, PROBABILITY = 4.0, 0.5
 #: Probability from which a disclosing term is removed rather than generalised.
 REMOVE = 0.9
-#: Terms are runs of at least so many letters, lower-cased.
-TERM = "\\p{L}{4,}"
+#: Terms are runs of letters and digits, lower-cased.
+TERM = "[\\p{L}\\p{N}]+"
 
 # The same languages as the contract's patterns. A run is entered at its start or where the last match ended, and
 # nothing is given back, so that no text makes matching slow: each of these runs is followed by a character it can't hold.

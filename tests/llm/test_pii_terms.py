@@ -13,6 +13,15 @@ def flagged(spark, texts):
     return out
 
 
+def test_short_terms_and_numbers_disclose(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(COMMON, k=12)) for _ in range(200)]
+    for k in range(0, 40, 10):
+        texts[k] += " Ann 李四 b4711 of u@mail.example.com"
+    got = flagged(spark, texts)
+    assert all(got[k] == ({"Ann": "term_remove", "李四": "term_remove", "b4711": "term_remove"} if k in (0, 10, 20, 30) else {}) for k in got)
+
+
 def test_terms_of_frequent_entities_disclose(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choices(COMMON, k=12)) for _ in range(300)]
