@@ -33,7 +33,7 @@ def brute(items, t, window=10):
                 found |= own
     for _, text in items:
         own = words(text)
-        for n in range(min(window, len(own)) or 1, len(own) + 1):
+        for n in range(1, len(own) + 1):
             grams = {tuple(own[k : k + n]) for k in range(len(own) - n + 1)}
             if any(tuple(w[k : k + n]) in grams for k in range(len(w) - n + 1)):
                 longest = max(longest, n)
@@ -55,7 +55,7 @@ def cases():
     return items, texts + hard.texts()
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 150}, {"shard_bytes": 64}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 150}, {"shard_words": 16}])
 def test_matches_brute_force(spark, options):
     items, texts = cases()
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], "doc_id bigint, text string, leak string").repartition(3)
@@ -77,6 +77,38 @@ def test_where_the_longest_match_is(spark):
     assert (r["longest"], words(docs.first()["text"])[r["longest_at"] : r["longest_at"] + 30]) == (30, item.split())
 
 
+def test_texts_that_repeat_themselves(spark):
+    docs = spark.createDataFrame([(1, "ha " * 60_000), (2, "ho ha"), (3, "ab " * 9)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "ha " * 5_000), (2, "ab " * 200)], "item_id bigint, text string")
+    out, m = decontam.decontaminate(docs, items)
+    rows = {r["doc_id"]: r for r in out.select("doc_id", f"{m}.*").collect()}
+    assert [(rows[k]["n_words"], rows[k]["n_hit"], rows[k]["items"], rows[k]["longest"], rows[k]["longest_at"]) for k in (1, 2, 3)] == [
+        (60_000, 60_000, ["1"], 5_000, 0), (2, 0, [], 1, 1), (9, 0, [], 9, 0),
+    ]
+
+
+def test_long_texts_are_cut_into_overlapping_shards(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", 40)
+    items, texts = cases()
+    whole = " ".join(t or "" for t in texts[:120])
+    index = decontam.BenchmarkIndex.of([(str(i), t or "") for i, t in items])
+    for shard_words in (1, 90, 1 << 20):
+        r = decontam._search(lambda: iter([index]), index.longest, decontam.pa.array([whole, "x", whole + "y"]), shard_words).to_pylist()
+        for got, text in zip(r, (whole, "x", whole + "y"), strict=True):
+            want = brute([(str(i), t) for i, t in items], text)
+            assert (got["n_words"], got["n_hit"], got["items"], got["longest"]) == want
+
+
+def test_suffix_arrays_against_sorting():
+    rng = np.random.default_rng(3)
+    for n, v in ((0, 2), (1, 2), (300, 2), (500, 3), (400, 70_000)):
+        words = rng.integers(0, v, n).astype(np.uint32)
+        words[rng.random(n) < 0.02] = 0
+        array, size, _ = decontam.suffix_array(words, n, v)
+        own = [tuple(words[k : k + size[k]].tolist()) for k in range(n)]
+        assert [own[k] for k in array] == sorted(x for x in own if x)
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "item_id bigint, text string")
     out, m = decontam.decontaminate(hard.docs(spark), none)
