@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables under ``sf_dir``."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the Parquet tables under ``sf_dir``.
+
+    A scan of fewer tasks than cores, as of a single small file, is dealt out to
+    all cores; a larger one stays as it is, without a shuffle.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
