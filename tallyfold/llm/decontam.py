@@ -58,14 +58,15 @@ def _power(base: int, n: int) -> np.ndarray:
     return have
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in ``data``, and at each text's start the number of words before it.
+def word_hashes(data: np.ndarray, starts: np.ndarray, word: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in ``data``, A-Z lower-cased, and at each text's start the number of words before it.
 
-    ``starts`` holds the byte at which each text begins and, last, the length.
+    ``starts`` holds the byte at which each text begins and, last, the length;
+    ``word`` tells of each byte whether it is in words.
     """
     n = len(data)
     low = _LOWER[data]
-    inside = _WORD[low]
+    inside = word[low]
     edge = np.zeros(n + 1, bool)
     edge[starts] = True
     begins = inside.copy()
@@ -353,7 +354,7 @@ def search_shard(index: BenchmarkIndex, texts: list[np.ndarray]) -> dict[int, Fo
     return found
 
 
-def _texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, bool]]:
+def hashed_texts(texts: pa.Array, word: np.ndarray = _WORD) -> Iterator[tuple[int, np.ndarray, bool]]:
     """Row, hashes of words, and whether the row ends there; long texts come in several parts."""
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
@@ -366,13 +367,13 @@ def _texts(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, bool]]:
             lo, end = int(offsets[a]), int(offsets[b])
             while lo < end:  # cut before a byte that is in no word
                 hi = min(end, lo + CHUNK_BYTES)
-                while hi < end and _WORD[_LOWER[data[hi]]]:
-                    ahead = np.flatnonzero(~_WORD[_LOWER[data[hi : min(end, hi + CHUNK_BYTES)]]])
+                while hi < end and word[_LOWER[data[hi]]]:
+                    ahead = np.flatnonzero(~word[_LOWER[data[hi : min(end, hi + CHUNK_BYTES)]]])
                     hi = hi + int(ahead[0]) if len(ahead) else min(end, hi + CHUNK_BYTES)
-                yield a, word_hashes(data[lo:hi], np.array([0, hi - lo]))[0], hi == end
+                yield a, word_hashes(data[lo:hi], np.array([0, hi - lo]), word)[0], hi == end
                 lo = hi
         else:
-            hashes, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            hashes, at = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], word)
             for k in range(b - a):
                 yield a + k, hashes[at[k] : at[k + 1]], True
         a = b
@@ -393,7 +394,7 @@ def _search(blocks: Callable[[], Iterator[BenchmarkIndex]], overlap: int, texts:
         shard.clear()
 
     held, kept, most = 0, np.zeros(0, np.uint64), max(shard_words, 2 * overlap)
-    for row, hashes, last in _texts(texts):
+    for row, hashes, last in hashed_texts(texts):
         # ``kept`` are a long text's words that its next shard begins with.
         hashes = np.concatenate([kept, hashes]) if len(kept) else hashes
         begin = n_words[row] - len(kept)

@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, free_name, space_words
+from .common import ascii_lower, checkpointed, free_name, small_side, space_words
 
 SHINGLE = 3
 BUDGET = 2
-#: Distinct fingerprints that one top node of the trie may hold before the top gets another level.
-NODE_ROWS = 50_000
+#: Distinct fingerprints that one top node of the trie may hold before the top gets more levels.
+NODE_ROWS = 200_000
+#: Links whose components one task finds; more of them take rounds of joins.
+ONE_TASK = 1 << 18
 #: Pairs of nodes that a task expands at once.
 FRONTIER = 1 << 18
 #: A pair of nodes with so few pairs of fingerprints is compared outright.
@@ -146,7 +148,7 @@ def _stars(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
 
 def fingerprint_links(prints: DataFrame, *, budget: int = BUDGET) -> DataFrame:
     """Links ``(u, v)`` among the distinct fingerprints in column ``p``: of each task, a star per component."""
-    tops = range(MIN_TOP, MAX_TOP + 1, 4)
+    tops = range(MIN_TOP, MAX_TOP + 1, 2)
     fullest = {}
     for top in tops:
         fullest[top] = prints.groupBy(F.shiftrightunsigned("p", 64 - top).alias("node")).count().agg(F.max("count")).first()[0] or 0
@@ -180,14 +182,25 @@ def fingerprint_links(prints: DataFrame, *, budget: int = BUDGET) -> DataFrame:
     return dealt.groupBy("a", "b").applyInArrow(join, "u bigint, v bigint")
 
 
-def components(links: DataFrame, *, rounds: int = 64) -> DataFrame:
+def components(links: DataFrame, *, one_task: int = ONE_TASK) -> DataFrame:
     """``(node, least)``: every linked node with the least node of its component.
 
-    Alternating large-star and small-star until nothing changes.  Each step is a
-    grouped minimum, joined back; a node with very many links is split by the
-    skew-join rule, and its minimum is taken before the shuffle.
+    Up to ``one_task`` links, counted, go to one task that labels them.  More take
+    alternating large-star and small-star joins until nothing changes: each step
+    is a grouped minimum, joined back; a node with very many links is split by
+    the skew-join rule, and its minimum is taken before the shuffle.
     """
 
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.stack([b["u"].to_numpy(), b["v"].to_numpy()]) for b in batches if b.num_rows]
+        if found:
+            nodes, at = np.unique(np.concatenate(found, 1), return_inverse=True)
+            at = at.reshape(2, -1)
+            member, least = _stars(len(nodes), iter([(at[0], at[1])]))
+            label = np.arange(len(nodes))
+            label[member] = least
+            yield pa.record_batch({"node": nodes, "least": nodes[label]})
+
     def star(edges: DataFrame, large: bool) -> DataFrame:
         if large:
             by = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -202,14 +215,15 @@ def components(links: DataFrame, *, rounds: int = 64) -> DataFrame:
         return out.filter("u <> v").distinct()
 
     mark = F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).alias("mark")
-    edges, before = checkpointed(links.distinct()), None
-    for _ in range(rounds):
+    edges, before = checkpointed(links.select("u", "v").distinct()), None
+    if edges.count() <= one_task:
+        return edges.coalesce(1).mapInArrow(labelled, "node bigint, least bigint")
+    while True:  # settles: each step moves links to lesser nodes
         edges = checkpointed(star(star(edges, True), False))
         now = edges.agg(mark).first()[0]
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("least")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("least")).distinct())
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
@@ -244,16 +258,18 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     # The key stands in for the id, so that a component's least key names its keeper.
     thin = docs.select(key.alias(name), F.col(text).alias("text"))
     rows = find(thin, doc_id=name, **options)
-    kept = rows.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    kept = checkpointed(kept.select(F.col("doc_id.id").alias("i"), F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b"), "n"))
+    # Rows to drop are fewer than rows to keep, so texts are joined with those: without a shuffle where they are few.
+    state = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min((F.col("doc_id") == F.col("component_id"))).alias("keeper"))
+    state = checkpointed(state.filter("n > 1 or not keeper").select(F.col("doc_id.id").alias("i"), F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b"), "keeper"))
     keyed = docs.withColumn(name, key)
 
-    def of(keepers: DataFrame) -> DataFrame:
-        same = F.col(f"{name}.a").eqNullSafe(keepers["a"]) & (F.col(f"{name}.b") == keepers["b"]) & F.col(f"{name}.id").eqNullSafe(keepers["i"])
-        return keyed.join(keepers, same, "left_semi")
+    def of(keys: DataFrame, how: str) -> DataFrame:
+        keys = small_side(keys)
+        same = F.col(f"{name}.a").eqNullSafe(keys["a"]) & (F.col(f"{name}.b") == keys["b"]) & F.col(f"{name}.id").eqNullSafe(keys["i"])
+        return keyed.join(keys, same, how)
 
-    repeated = kept.filter("n > 1")
-    out = of(kept.filter("n = 1"))
+    repeated = state.filter("keeper")
+    out = of(state, "left_anti")
     if repeated.take(1):
-        out = out.union(of(repeated).dropDuplicates([name]))
+        out = out.union(of(repeated, "left_semi").dropDuplicates([name]))
     return out.drop(name)

@@ -2,7 +2,7 @@ import corpus_pipeline
 from tallyfold.llm import queries
 
 from .test_decontam import brute, words
-from .test_simhash import fingerprint, linked
+from .test_similar import kept as similar
 
 
 def test_stages_keep_what_they_should(spark, sf_dir, tmp_path):
@@ -18,12 +18,7 @@ def test_stages_keep_what_they_should(spark, sf_dir, tmp_path):
     before, after = kept["language"]
     assert {r.doc_id for r in after} == {r.doc_id for r in before if any(c.isalpha() for c in r.text or "")}
     before, after = kept["near_duplicates"]
-    comp = linked([fingerprint(r.text) for r in before])
-    low = {}
-    for r in before:
-        c = comp[fingerprint(r.text)]
-        low[c] = min(r.doc_id, low.get(c, r.doc_id))
-    assert sorted(r.doc_id for r in after) == sorted(low.values())
+    assert sorted(r.doc_id for r in after) == similar([(r.doc_id, r.text) for r in before])
     before, after = kept["decontamination"]
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     vocabulary = {w for _, t in items for w in words(t)}
