@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.llm import pii, secrets
@@ -115,17 +116,35 @@ def test_disclosing_terms_match_brute_force(spark):
         holds.update({(s[2], t[s[0] : s[3]].lower()) for s in spans})
         df.update(set(re.findall(r"[^\W\d_]{4,}", t.lower())))
         both.update({(w, e) for w, _, _, own in terms(t, spans) for e in own})
+    told = {}
+    for (w, e), n in both.items():
+        p = n / df[w]
+        if n >= pii.SUPPORT and p >= pii.PROBABILITY and math.log2(p * len(texts) / holds[e]) >= pii.BITS:
+            told[w] = told.get(w, False) or p >= pii.REMOVE
     seen = 0
-    for k, t in enumerate(texts):
-        want = {}
-        for w, a, b, own in terms(t, base_pii(t)):
-            for e in own:
-                p = both[w, e] / df[w]
-                if both[w, e] >= pii.SUPPORT and p >= pii.PROBABILITY and math.log2(p * len(texts) / holds[e]) >= pii.BITS:
-                    want[a, b] = want.get((a, b), False) or p >= pii.REMOVE
+    for k, t in enumerate(texts):  # wherever they occur, in texts without an identifier too
+        spans = base_pii(t)
+        want = {m.span(): told[m[0].lower()] for m in re.finditer(r"[^\W_]+", t) if m[0].lower() in told and not any(s[0] < m.end() and s[3] > m.start() for s in spans)}
         assert {(s["start"], s["stop"]): s["kind"] == "term_remove" for s in got[k] if s["rank"] >= 4} == want
         seen += len(want)
-    assert seen
+    assert seen and any(base_pii(t) == [] and any(s["rank"] >= 4 for s in got[k]) for k, t in enumerate(texts))
+
+
+def test_a_line_of_very_many_entities_and_words(spark):
+    line = " ".join(f"w{k}" for k in range(50_000)) + " " + " ".join(f"u{k}@x.org" for k in range(5_000))
+    docs = spark.createDataFrame([(1, line), (2, line), *[(k, "plain words of no one") for k in range(3, 60)]], "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"]: r["n"] for r in pii.find_personal_data(docs).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert got == {k: 55_000 if k < 3 else 0 for k in range(1, 60)}
+
+
+def test_base_columns_against_sql(spark, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    names = ["doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256"]
+    got = sorted(map(tuple, pii.span_report(pii.find_personal_data(docs), pii.KINDS).select(*names).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    assert got == sorted(db.execute(f"SELECT {', '.join(names)} FROM ({pii.BASE_SQL})").fetchall())
 
 
 def test_sanitised(spark):
