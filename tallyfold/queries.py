@@ -176,14 +176,12 @@ def set_union(spark, sf_dir):
     return p.merge(*halves).select("entity", F.explode("v").alias("member"))
 
 
-@query("SELECT event_type AS entity, true AS close FROM events GROUP BY 1")
+@query("SELECT event_type AS entity, count(DISTINCT user_id) AS n FROM events GROUP BY 1")
 def distinct_users_hll(spark, sf_dir):
-    """Whether the estimate, merged from daily sketches, is within 5 % of the exact number."""
+    """The estimate merged from daily sketches, which is exact for as few users as the tables have."""
     p = presets.unique_count("users", F.col("user_id"), F.col("event_type")).windowed(windows.daily())
     rows = events(spark, sf_dir)
-    merged = p.monoid.merge(p.compile(rows).select("entity", "v"), ["entity"]).select("entity", p.monoid.finalize(F.col("v")).alias("n"))
-    exact = rows.groupBy(F.col("event_type").alias("entity")).agg(F.count_distinct("user_id").alias("x"))
-    return merged.join(exact, "entity").select("entity", (F.abs(F.col("n") - F.col("x")) <= 0.05 * F.col("x")).alias("close"))
+    return p.monoid.merge(p.compile(rows).select("entity", "v"), ["entity"]).select("entity", p.monoid.finalize(F.col("v")).cast("bigint").alias("n"))
 
 
 _TOPK = """
@@ -218,23 +216,25 @@ def top_parts_by_brand(spark, sf_dir):
     return p.compile(lines).select("entity", F.explode("v").alias("x")).select("entity", "x.item", "x.count")
 
 
-@query("SELECT DISTINCT event_type AS entity, user_id AS member, true AS found FROM events")
+@query("""
+SELECT DISTINCT event_type AS entity, user_id AS member, true AS found FROM events
+UNION ALL SELECT DISTINCT event_type, -1 - user_id, false FROM events
+""")
 def bloom_membership(spark, sf_dir):
-    """No false negatives: each user is found in the filter of each type they used."""
+    """Each user is found in the filter of each type they used, and as many strangers aren't; a filter so empty errs once in 10^10."""
     p = Pipeline("bloom", (F.col("event_type"),), F.col("user_id"), monoids.Bloom())
     rows = events(spark, sf_dir)
-    members = rows.select(F.col("event_type").alias("entity"), F.col("user_id").alias("member")).distinct()
-    return p.monoid.contains(p.compile(rows), members.withColumnRenamed("member", "asked"), ["entity"], "asked").select("entity", F.col("asked").alias("member"), F.col("member").alias("found"))
+    every = rows.select(F.col("event_type").alias("entity"), F.explode(F.array("user_id", -1 - F.col("user_id"))).alias("asked")).distinct()
+    answers = p.monoid.contains(p.compile(rows), every, ["entity"], "asked")
+    return answers.select("entity", F.col("asked").alias("member"), F.col("member").alias("found"))
 
 
-@query("SELECT event_type AS entity, 958506::BIGINT AS bits, 7::BIGINT AS hashes, true AS close FROM events GROUP BY 1")
+@query("SELECT event_type AS entity, 958506::BIGINT AS bits, 7::BIGINT AS hashes, count(DISTINCT user_id) AS about FROM events GROUP BY 1")
 def bloom_shape(spark, sf_dir):
+    """Size, hashes and how many members the filter holds, as told by its bits."""
     p = Pipeline("bloom", (F.col("event_type"),), F.col("user_id"), monoids.Bloom())
-    rows = events(spark, sf_dir)
-    shape = p.compile(rows).select("entity", p.monoid.finalize(F.col("v")).alias("s"))
-    exact = rows.groupBy(F.col("event_type").alias("entity")).agg(F.count_distinct("user_id").alias("x"))
-    near = F.abs(F.col("s.approx_size") - F.col("x")) <= 1 + 0.02 * F.col("x")
-    return shape.join(exact, "entity").select("entity", F.col("s.bits").cast("bigint").alias("bits"), F.col("s.hashes").cast("bigint").alias("hashes"), near.alias("close"))
+    shape = p.compile(events(spark, sf_dir)).select("entity", p.monoid.finalize(F.col("v")).alias("s"))
+    return shape.select("entity", F.col("s.bits").cast("bigint").alias("bits"), F.col("s.hashes").cast("bigint").alias("hashes"), F.round("s.approx_size").cast("bigint").alias("about"))
 
 
 @query("SELECT user_id::VARCHAR AS entity, event_type AS key, count(*) AS n FROM events GROUP BY ALL")
@@ -360,14 +360,37 @@ def named_query(spark, sf_dir):
     return registry.run("UserCounts", reader, {"user_ids": ["5", "2", "-1"], "seconds": 48 * 3600}, NOW)
 
 
-@query("SELECT true AS close")
+@query("SELECT count(DISTINCT user_id) AS n FROM events WHERE event_type IN ('click', 'purchase')")
 def cardinality_over(spark, sf_dir):
-    """Distinct users over two types at once, from their sketches, within 5 % of the exact number."""
+    """Distinct users over two types at once, from their sketches."""
     p, rows = presets.unique_count("users", F.col("user_id"), F.col("event_type")), events(spark, sf_dir)
-    n = Reader(p, p.compile(rows)).over(asked(spark, "click", "purchase"))
-    exact = rows.filter(F.col("event_type").isin("click", "purchase")).agg(F.count_distinct("user_id").alias("x"))
-    both = n.unionByName(exact, allowMissingColumns=True).agg(F.max("v").alias("v"), F.max("x").alias("x"))
-    return both.select((F.abs(F.col("v") - F.col("x")) <= 0.05 * F.col("x")).alias("close"))
+    return Reader(p, p.compile(rows)).over(asked(spark, "click", "purchase")).select(F.col("v").cast("bigint").alias("n"))
+
+
+@query(f"SELECT 'click' AS entity, count(*) AS v FROM events WHERE event_type = 'click' AND {DAY_BUCKET} BETWEEN {_TODAY} - 6 AND {_TODAY}")
+def window_one(spark, sf_dir):
+    return _daily(spark, sf_dir).window("click", 7 * DAYS, NOW)
+
+
+@query(f"SELECT 'nobody' AS entity, 0::BIGINT AS v UNION ALL SELECT 'click', count(*) FROM events WHERE event_type = 'click' AND {DAY_BUCKET} BETWEEN epoch_us(TIMESTAMP '2024-01-05') // 86400000000 AND epoch_us(TIMESTAMP '2024-01-09') // 86400000000")
+def range_one(spark, sf_dir):
+    """One entity with state in the range, and one without any."""
+    reader = _daily(spark, sf_dir)
+    return reader.range("click", dt.datetime(2024, 1, 5, 7), dt.datetime(2024, 1, 9, 1)).union(reader.range("nobody", dt.datetime(2024, 1, 5, 7), dt.datetime(2024, 1, 9, 1)))
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' INTERSECT SELECT user_id FROM events WHERE event_type = 'purchase' AND ts < TIMESTAMP '2024-01-05'")
+def users_of_both(spark, sf_dir):
+    rows = events(spark, sf_dir)
+    early = rows.filter((F.col("event_type") == "purchase") & (F.col("ts") < "2024-01-05 00:00:00"))
+    return rows.filter("event_type = 'click'").select("user_id").intersect(early.select("user_id"))
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'click' EXCEPT ALL SELECT user_id FROM events WHERE event_type = 'purchase'")
+def clicks_without_purchase(spark, sf_dir):
+    """A user as often as they clicked more than they purchased."""
+    rows = events(spark, sf_dir)
+    return rows.filter("event_type = 'click'").select("user_id").exceptAll(rows.filter("event_type = 'purchase'").select("user_id"))
 
 
 @query("""
@@ -618,6 +641,34 @@ def swap_read(spark, sf_dir):
     return StateTable(spark, alias.path(), monoids.count()).read().select("entity", "v")
 
 
+def _stored(spark, sf_dir, pipeline: Pipeline, parts: int = 4) -> StateTable:
+    """A table that a pipeline's events were merged into by parts, a segment each."""
+    state = StateTable(spark, scratch(spark), pipeline.monoid, pipeline.window)
+    for k in range(parts):
+        state.merge(pipeline.compile(events(spark, sf_dir).filter(F.col("event_id") % parts == k)))
+    return state
+
+
+@query(f"""
+WITH asked AS (SELECT DISTINCT user_id::VARCHAR AS entity FROM events WHERE user_id < 200)
+SELECT a.entity::BIGINT AS ord, a.entity, count(e.event_id) AS v, count(e.event_id) > 0 AS present
+FROM asked a LEFT JOIN events e ON e.user_id::VARCHAR = a.entity AND {DAY_BUCKET} BETWEEN {_TODAY} - 6 AND {_TODAY} GROUP BY ALL
+""")
+def state_window_many(spark, sf_dir):
+    """Windows of up to 200 users from a stored table of four segments."""
+    p = presets.counter("by_user", F.col("user_id")).windowed(windows.daily())
+    state = _stored(spark, sf_dir, p)
+    users = events(spark, sf_dir).filter("user_id < 200").select(F.col("user_id").alias("ord"), F.col("user_id").cast("string").alias("entity")).distinct()
+    return Reader(p, state.read()).window_many(users, 7 * DAYS, NOW)
+
+
+@query("SELECT event_type AS entity, max(round(value * 100)::BIGINT) AS v FROM events GROUP BY 1")
+def state_max(spark, sf_dir):
+    """The greatest value so far, of a table that later segments change only where they have a greater one."""
+    p = Pipeline("max", (F.col("event_type"),), cents(), monoids.max_())
+    return _stored(spark, sf_dir, p).read().select("entity", "v")
+
+
 @query("SELECT event_id, 'backfill:' || left(sha256(event_type || '|' || strftime(date_trunc('hour', ts), '%Y-%m-%dT%H:%M:%SZ')), 32) AS id FROM events")
 def backfill_ids(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", keys.backfill_id(F.col("event_type"), F.col("event_time")).alias("id"))

@@ -79,7 +79,7 @@ class Bound:
         for attempt in range(1, self.options.attempts + 1):
             try:
                 self.apply(events, stream, batch)
-                self.recorder.events(self.pipeline.name, 1)
+                self.recorder.events(self.pipeline.name, events.count())  # a scan of no columns
                 return
             except Exception as e:
                 self.recorder.error(self.pipeline.name, e)

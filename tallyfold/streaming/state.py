@@ -158,7 +158,8 @@ class StateTable:
         segments = [*info["segments"], version]
         if len(segments) > self.most_segments:
             rows, segments = self._merged(self._segments(info["segments"]).unionByName(rows)), [version]
-        rows.write.parquet(self._part("state", version))
+        # In order within files, so that reads of an entity skip most of a file by its statistics.
+        rows.sortWithinPartitions("entity", "bucket").write.parquet(self._part("state", version))
         if ids is not None:
             ids.select(F.col("event_id").cast("string")).filter("event_id <> ''").distinct().write.parquet(self._part("ids", version))
             info["ids"] = [x for x in info["ids"] if self._kept(x[1], now)] + [[version, now.isoformat()]]

@@ -153,6 +153,13 @@ def test_retries_and_dead_letters(spark, tmp_path, monkeypatch):
     assert [backoff(n, 1, 5) for n in (1, 2, 3, 4)] == [1, 2, 4, 5] and backoff(1, 1, 5, 1.0) == 1.5
 
 
+def test_events_are_counted_one_by_one(spark, tmp_path):
+    bound = Bound(order_pipeline(), StateTable(spark, str(tmp_path), monoids.sum_()))
+    for batch in range(2):
+        bound.apply_with_retry(orders(spark, *[(f"{batch}-{k}", "a", 1) for k in range(7)]), "s", batch)
+    assert bound.recorder.snapshot("orders")["events"] == 14
+
+
 def test_jsonl(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": "x", "n": 1}\n\nnot json\n{"id": null, "n": 2}\n{"id": "", "n": 3}\n')
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("n", T.LongType())])
