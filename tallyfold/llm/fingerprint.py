@@ -91,12 +91,12 @@ def peeled(difference: Column, width: int = WIDTHS[0], tries: int = 0) -> Column
 
 
 def _larger(a: Column, b: Column) -> Column:
-    """The differing digests by groups; a group stuck at every size counts as differing in all of its digests."""
+    """The differing digests by groups; those of a group stuck at every size are told by setting its digests against each other."""
 
     def group(own: Column, other: Column) -> Column:
         tries = [peeled(subtracted(sketch(own, w, k), sketch(other, w, k)), w, k) for k, w in enumerate(WIDTHS)]
         signed = lambda x, n: F.transform(x, lambda key: F.struct(key.alias("key"), F.lit(n).alias("n")))
-        return F.coalesce(*tries, F.concat(signed(own, 1), signed(other, -1)))
+        return F.coalesce(*tries, F.concat(signed(F.array_except(own, other), 1), signed(F.array_except(other, own), -1)))
 
     def bits(a: Column, b: Column) -> Column:
         return F.greatest(F.lit(0), F.ceil(F.log2((F.size(a) + F.size(b)) / F.lit(float(GROUP)))).cast("int"))

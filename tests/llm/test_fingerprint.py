@@ -58,3 +58,12 @@ def test_successors_in_groups(spark, monkeypatch):
     keys = sorted({(k * 7919) % 1_000_003 - 400_000 for k in range(300)} | {5, 6, 7})
     got = {r["key"]: r["after"] for r in fp.successors(spark.createDataFrame([(k,) for k in keys], "key bigint")).collect()}
     assert got == dict(zip(keys, keys[1:] + keys[:1], strict=True))
+
+
+def test_groups_stuck_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(fp, "WIDTHS", (0, 0))
+    monkeypatch.setattr(fp, "GROUP", 1 << 20)
+    a, b = list(range(0, 40)), list(range(10, 55))
+    df = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>")
+    got = df.select(fp._larger(F.col("a"), F.col("b")).alias("d")).first()["d"]
+    assert sorted((x["key"], x["n"]) for x in got) == sorted([(k, 1) for k in range(10)] + [(k, -1) for k in range(40, 55)])
