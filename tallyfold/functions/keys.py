@@ -30,5 +30,6 @@ def joined(*parts: Column) -> Column:
 
 def backfill_id(entity: Column, time: Column) -> Column:
     """A stable event id for an entity's hour, so that a backfill can be run again."""
+    # The prefix, the separator, the time's format and the length.
     hour = F.date_format(F.date_trunc("hour", time), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return F.concat(F.lit("backfill:"), F.left(F.sha2(F.concat(entity, F.lit("|"), hour), 256), F.lit(32)))

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Candidates recalled, and results.
 RECALL, TOP = 200, 20
 
 
 def popularity_score(relevance: Column, recent: Column, total: Column) -> Column:
+    # The formula and its weights.
     return relevance * (1 + F.log10(recent + 1)) * (1 + 0.2 * F.log10(total + 1))
 
 
