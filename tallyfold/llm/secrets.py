@@ -201,10 +201,13 @@ def span_report(found: DataFrame, base: list[str]) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(own), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def spans_sql(kinds_: list[tuple[str, str, str]]) -> str:
-    """DuckDB SQL for the base columns: ``(kind, pattern, condition on m)``, m being a match's text, g2 its second group."""
+def spans_sql(kinds_: list[tuple[str, str, str]], more: list[tuple[str, str, str]] = ()) -> str:
+    """DuckDB SQL for the report: ``(kind, pattern, condition on m)``, m being a match's text, g2 its second group.
+
+    Kinds of ``more`` are among the spans, but not counted and not in the digest.
+    """
     parts = []
-    for rank, (kind, pattern, condition) in enumerate(kinds_):
+    for rank, (kind, pattern, condition) in enumerate([*kinds_, *more]):
         p = pattern.replace("'", "''")
         parts.append(f"""
   SELECT n, {rank} AS rank, '{kind}' AS kind, first AS start, first + length(m) AS stop FROM (
@@ -218,14 +221,13 @@ def spans_sql(kinds_: list[tuple[str, str, str]]) -> str:
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
 spans AS ({union})
-SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '')) AS base_sha256,
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < {len(kinds_)}), '')) AS base_sha256,
   coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
 FROM docs LEFT JOIN spans USING (n) GROUP BY n, doc_id
 """
 
 
-SECRETS_SQL = spans_sql([
-    ("assign", BASE[0].pattern, "length(g2) >= 8"),
-    ("access", BASE[1].pattern, "length(m) >= 16"),
-    ("hex", BASE[2].pattern, "length(m) >= 32"),
-])
+SECRETS_SQL = spans_sql(
+    [("assign", BASE[0].pattern, "length(g2) >= 8"), ("access", BASE[1].pattern, "length(m) >= 16"), ("hex", BASE[2].pattern, "length(m) >= 32")],
+    [(rule.kind, rule.pattern, f"length(m) >= {rule.least}") for rule in MORE],
+)

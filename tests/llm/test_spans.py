@@ -67,6 +67,30 @@ def test_more_secrets_leave_base_spans(spark):
         assert [(s["start"], s["rank"], s["kind"], s["stop"]) for s in got[k] if s["rank"] < 3] == base_secrets(t)
 
 
+MORE_PIECES = ["gh", "ghp_", "gho_", "xox", "oxb-", "xoxb-", "rk_live_", "sk_li", "ve_", "AIza", "iza", "eyJ", ".eyJ", ".", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "PRIVATE KE", "a1B2" * 5, "Z9" * 18, "k" * 35, " ", "é"]
+
+
+def test_all_kinds_on_fuzz_and_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(MORE_PIECES + SECRET_PIECES, k=rng.randint(1, 14))) for _ in range(1500)]
+    texts += [a + b for a in MORE_PIECES for b in MORE_PIECES]
+    texts += ["eyJ" + "aB3_" * n + ".eyJ" + "c-4D" * m + tail for n in (1, 2) for m in (1, 2) for tail in ("", ".", ".signature", ".Eight888")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = secrets.find_secrets(docs).persist()
+    fired = Counter()
+    for r in found.collect():
+        want = [(s, k, rule.kind, e) for k, rule in enumerate(secrets.RULES[3:], 3) for s, e in (m.span() for m in re.finditer(rule.pattern, texts[r["doc_id"]]))]
+        want = sorted(want + base_secrets(texts[r["doc_id"]]))
+        assert [(s["start"], s["rank"], s["kind"], s["stop"]) for s in r["spans"]] == want, texts[r["doc_id"]]
+        fired.update(k for _, _, k, _ in want)
+    assert set(fired) == {rule.kind for rule in secrets.RULES}
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    got = sorted(map(tuple, secrets.span_report(found, ["assign", "access", "hex"]).select(*names).collect()))
+    documents = docs.toPandas()  # what DuckDB reads by its name
+    assert len(documents) and got == sorted(duckdb.sql(f"SELECT {', '.join(names)} FROM ({secrets.SECRETS_SQL})").fetchall())
+
+
 def test_trigram_queries_hold_for_every_match():
     rng = random.Random(0)
     samples = {"assign": ["password=", "PASSWD: ", "api_key='", "apikey =", "token:", "secret=\""], "access": ["AKIA"], "forge_token": ["ghp_", "gho_"], "chat_token": ["xoxb-", "xoxs-"]}
