@@ -122,14 +122,33 @@ def _least(sets: list[frozenset[str]]) -> list[frozenset[str]]:
     return sorted({s for s in sets if not any(t < s for t in sets)}, key=sorted)
 
 
+#: Letters of English text, the most frequent first.
+FREQUENT = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def lead(terms: frozenset[str]) -> str:
+    """The trigram of a conjunction that seems rarest by its letters; the least of several."""
+    return min(terms, key=lambda g: (-sum(FREQUENT.find(c) if c in FREQUENT else len(FREQUENT) for c in g), g))
+
+
 def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """``key, mask``: documents that satisfy trigram queries, bit k standing for rule k."""
+    """``key, mask``: documents that satisfy trigram queries, bit k standing for rule k.
+
+    A conjunction's trigrams are posted only where its rarest one occurs, since nothing else can satisfy it: a
+    text is searched for all trigrams of a conjunction only after that one was found.
+    """
     queries = [(k, terms) for k, rule in enumerate(rules) for terms in trigram_query(rule.pattern) or []]
-    grams = sorted({g for _, terms in queries for g in terms})
+    number = {g: k for k, g in enumerate(sorted({g for _, terms in queries for g in terms}))}
+    led: dict[str, set[str]] = {}
+    for _, terms in queries:
+        led.setdefault(lead(terms), set()).update(terms)
     low = docs.select("key", F.lower("text").alias("low"))
-    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(k)) for k, g in enumerate(grams)]))
-    postings = exploded(low, present, "gram", "key")
-    number = {g: k for k, g in enumerate(grams)}
+
+    def present(first: str) -> Column:
+        rest = [F.when(F.contains("low", F.lit(g)), F.lit(number[g])) for g in sorted(led[first] - {first})]
+        return F.when(F.contains("low", F.lit(first)), F.array_compact(F.array(F.lit(number[first]), *rest))).otherwise(F.array().cast("array<int>"))
+
+    postings = exploded(low, F.flatten(F.array(*[present(first) for first in sorted(led)])), "gram", "key")
     rows = [(c, rule, number[g], 1 << at, (1 << len(terms)) - 1) for c, (rule, terms) in enumerate(queries) for at, g in enumerate(sorted(terms))]
     uses = docs.sparkSession.createDataFrame(rows, "term int, rule int, gram int, bit bigint, every bigint")  # bounded by the rules
     met = postings.join(F.broadcast(uses), "gram").groupBy("key", "term").agg(F.bit_or("bit").alias("bits"), F.first("every").alias("every"), F.first("rule").alias("rule"))
