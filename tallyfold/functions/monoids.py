@@ -263,6 +263,10 @@ class Bloom(Monoid):
         size = -F.lit(self.bits / self.hashes) * F.log1p(-ones / F.lit(float(self.bits)))
         return F.struct(F.lit(self.bits).alias("bits"), F.lit(self.hashes).alias("hashes"), ones.alias("set_bits"), F.round(size).cast("bigint").alias("approx_size"))
 
+    def equal(self, a: Column, b: Column) -> Column:
+        """Whether two states have the same bits; null is the empty filter."""
+        return F.coalesce(a, F.array()) == F.coalesce(b, F.array())
+
     def contains(self, states: DataFrame, asked: DataFrame, by: list[str], value: str) -> DataFrame:
         """``asked`` with a boolean ``member``: whether each row's value may be in its group's filter; no filter: no."""
         keys = [*by, value]

@@ -31,6 +31,8 @@ class Recorder:
     def __init__(self):
         self._events: dict[str, int] = defaultdict(int)
         self._errors: dict[str, int] = defaultdict(int)
+        self._retries: dict[str, int] = defaultdict(int)
+        self._skips: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
         self._last: dict[str, str] = {}
         self._times: dict[str, deque[float]] = defaultdict(lambda: deque(maxlen=RING))
 
@@ -41,6 +43,13 @@ class Recorder:
         self._errors[pipeline] += 1
         self._last[pipeline] = str(error)
 
+    def retry(self, pipeline: str) -> None:
+        self._retries[pipeline] += 1
+
+    def skip(self, pipeline: str, cause: str, n: int) -> None:
+        """Events that were not counted, by cause: ``dedup`` or ``debounce``."""
+        self._skips[pipeline][cause] += n
+
     def latency(self, pipeline: str, seconds: float) -> None:
         self._times[pipeline].append(seconds)
 
@@ -48,6 +57,7 @@ class Recorder:
         t = sorted(self._times[pipeline])
         return {
             "events": self._events[pipeline], "errors": self._errors[pipeline], "last_error": self._last.get(pipeline),
+            "retries": self._retries[pipeline], "skips": dict(self._skips[pipeline]),
             "latency": Latencies(len(t), percentile(t, 0.5), percentile(t, 0.95), percentile(t, 0.99), t[-1] if t else 0.0),
         }
 

@@ -1,17 +1,21 @@
 """A versioned state table in Parquet.
 
-A merge writes its own state rows as a segment and then a commit file that names
-the segments a version consists of; reads merge them, and every so many merges
-they are compacted into one.  A commit file is created only if it isn't there
-yet.  Readers take the newest committed version, so a failed write is never
-seen, and a micro-batch whose id is already committed is not applied again.  Ids
-of accepted events and debounce times are part of the version that accepted them.
+A merge writes its own state rows as a segment, under a name of its own, and then
+a commit file that names the segments a version consists of; reads merge them.
+So many segments of one level are compacted into one of the next, so that a row is
+rewritten once a level.  A commit file is created only if it isn't there yet, which
+the store must do atomically (HDFS and local disks do); of several writers one wins,
+and the others commit on top of it.  Readers take the newest committed version, so a
+failed write is never seen, and a micro-batch whose id is already committed is not
+applied again.  Ids of accepted events and debounce times are part of the version
+that accepted them.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -78,6 +82,10 @@ def _numbered(n: int) -> str:
     return f"{n:012d}"
 
 
+#: Times that a merge is committed on top of other writers' versions before it gives up.
+COMMIT_ATTEMPTS = 8
+
+
 @dataclass
 class StateTable:
     """The state of one pipeline at ``path``."""
@@ -88,7 +96,7 @@ class StateTable:
     window: Window | None = None
     on_commit: list[Callable[[DataFrame, int], None]] = field(default_factory=list)
     hook_errors: bool = False
-    #: Segments beyond which a merge compacts.
+    #: Segments of one level beyond which they are compacted into one of the next.
     most_segments: int = 8
     #: How long accepted ids are kept for dedup (None: forever).
     ids_kept: dt.timedelta | None = None
@@ -105,8 +113,18 @@ class StateTable:
     def commit_info(self, version: int) -> dict:
         return json.loads(self.folder.read(f"_commits/{_numbered(version)}")) if version else {"batches": {}, "segments": [], "ids": [], "debounce": None}
 
-    def _part(self, part: str, version: int) -> str:
-        return f"{self.path}/{part}/v={_numbered(version)}"
+    def _part(self, part: str, name: str) -> str:
+        return f"{self.path}/{part}/{name}"
+
+    def _write(self, part: str, version: int, rows: DataFrame) -> str:
+        """The name, no other writer's, under which rows were written."""
+        name = f"{_numbered(version)}-{uuid.uuid4().hex}"
+        rows.write.parquet(self._part(part, name))
+        return name
+
+    def _write_state(self, version: int, rows: DataFrame) -> str:
+        # In order within files, so that reads of an entity skip most of a file by its statistics.
+        return self._write("state", version, rows.sortWithinPartitions("entity", "bucket"))
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         """One row per entity and bucket; a later write keeps its bucket for another retention."""
@@ -114,8 +132,9 @@ class StateTable:
         kept = rows.groupBy(*by).agg(F.max("expires_at").alias("expires_at"))
         return self.monoid.merge(rows.select(*by, "v"), by).join(kept, by).select(*by, "v", "expires_at")
 
-    def _segments(self, numbers: list[int]) -> DataFrame:
-        return self.spark.read.parquet(*[self._part("state", n) for n in numbers])
+    def _segments(self, segments: list[list]) -> DataFrame:
+        """State rows of ``[name, level]`` pairs."""
+        return self.spark.read.parquet(*[self._part("state", name) for name, _ in segments])
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """``entity, bucket, v, expires_at`` of a version; None before the first."""
@@ -142,41 +161,61 @@ class StateTable:
         return self.commit_info(self.version())["batches"].get(stream, -1) >= batch
 
     def merge(
-        self, delta: DataFrame, *, stream: str = "batch", batch: int | None = None, ids: DataFrame | None = None, last: DataFrame | None = None, now: dt.datetime | None = None
-    ) -> int:
-        """Merge state rows ``entity, bucket, v``; the version committed, or the one there if the batch was applied before."""
+        self, delta: DataFrame, *, stream: str = "batch", batch: int | None = None, ids: DataFrame | None = None, last: DataFrame | None = None, now: dt.datetime | None = None,
+        base: int | None = None,
+    ) -> int:
+        """Merge state rows ``entity, bucket, v``; the version committed, or the one there if the batch was applied before.
+
+        ``base`` is the version that the rows depend on, as through ids seen so far: if another writer has committed
+        since, that is a conflict.  Without it the rows are committed on top of whatever is there.
+        """
+        now = now or dt.datetime.now(dt.timezone.utc)
         current = self.version()
-        info = self.commit_info(current)
-        if batch is not None and info["batches"].get(stream, -1) >= batch:
+        if batch is not None and self.applied(stream, batch):
             return current
-        version = current + 1
-        for part in ("state", "ids", "debounce"):  # leftovers of a write that failed
-            self.folder.delete(f"{part}/v={_numbered(version)}")
-        now = now or dt.datetime.now(dt.timezone.utc)
+        if base is not None and current != base:
+            raise VersionConflict(f"{self.path}: version {current} was committed after {base}")
         until = F.lit(now + self.window.retention) if self.window and self.window.retention else F.lit(None)
-        rows = delta.select("entity", "bucket", "v").withColumn("expires_at", until.cast("timestamp"))
-        segments = [*info["segments"], version]
-        if len(segments) > self.most_segments:
-            rows, segments = self._merged(self._segments(info["segments"]).unionByName(rows)), [version]
-        # In order within files, so that reads of an entity skip most of a file by its statistics.
-        rows.sortWithinPartitions("entity", "bucket").write.parquet(self._part("state", version))
-        if ids is not None:
-            ids.select(F.col("event_id").cast("string")).filter("event_id <> ''").distinct().write.parquet(self._part("ids", version))
-            info["ids"] = [x for x in info["ids"] if self._kept(x[1], now)] + [[version, now.isoformat()]]
-        if last is not None:
-            last.write.parquet(self._part("debounce", version))
-            info["debounce"] = version
-        if batch is not None:
-            info["batches"][stream] = batch
-        self._commit(version, {**info, "segments": segments}, now)
+        own = [self._write_state(current + 1, delta.select("entity", "bucket", "v").withColumn("expires_at", until.cast("timestamp"))), 0]
+        seen = None if ids is None else self._write("ids", current + 1, ids.select(F.col("event_id").cast("string")).filter("event_id <> ''").distinct())
+        times = None if last is None else self._write("debounce", current + 1, last)
+        for attempt in range(1, COMMIT_ATTEMPTS + 1):
+            info = self.commit_info(current)
+            if batch is not None and info["batches"].get(stream, -1) >= batch:
+                return current
+            info["segments"] = self._compacted(current + 1, [*info["segments"], own])
+            if seen is not None:
+                info["ids"] = [x for x in info["ids"] if self._kept(x[1], now)] + [[seen, now.isoformat()]]
+            if times is not None:
+                info["debounce"] = times
+            if batch is not None:
+                info["batches"][stream] = batch
+            try:
+                self._commit(current + 1, info, now)
+                break
+            except VersionConflict:
+                if base is not None or attempt == COMMIT_ATTEMPTS:
+                    raise
+                current = self.version()
         for hook in self.on_commit:
             try:
-                hook(delta, version)
+                hook(self._segments([own]).select("entity", "bucket", "v"), current + 1)
             except Exception as e:
                 if self.hook_errors:
                     raise
-                self.log(f"hook after version {version} failed: {e}")
-        return version
+                self.log(f"hook after version {current + 1} failed: {e}")
+        return current + 1
+
+    def _compacted(self, version: int, segments: list[list]) -> list[list]:
+        """The segments, those of a level that are too many merged into one of the next."""
+        level = 0
+        while any(n >= level for _, n in segments):
+            mine = [x for x in segments if x[1] == level]
+            if len(mine) > self.most_segments:
+                merged = self._write_state(version, self._merged(self._segments(mine)))
+                segments = [x for x in segments if x[1] != level] + [[merged, level + 1]]
+            level += 1
+        return segments
 
     def _kept(self, at: str, now: dt.datetime) -> bool:
         return self.ids_kept is None or now - dt.datetime.fromisoformat(at) <= self.ids_kept
@@ -191,21 +230,26 @@ class StateTable:
         rows = self.read(current)
         if rows is None:
             return 0
-        version = current + 1
-        self.folder.delete(f"state/v={_numbered(version)}")
-        rows.filter(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now))).write.parquet(self._part("state", version))
-        self._commit(version, {**self.commit_info(current), "segments": [version]}, now)
+        version, info = current + 1, self.commit_info(current)
+        left = self._write_state(version, rows.filter(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now))))
+        self._commit(version, {**info, "segments": [[left, max(n for _, n in info["segments"])]]}, now)
         return version
 
     def vacuum(self, keep: int = 2) -> None:
-        """Remove files that none of the newest ``keep`` versions use."""
-        newest = range(max(1, self.version() - keep + 1), self.version() + 1)
-        infos = [self.commit_info(v) for v in newest]
-        used = {"state": {n for i in infos for n in i["segments"]}, "ids": {n for i in infos for n, _ in i["ids"]}, "debounce": {i["debounce"] for i in infos}}
-        for part, numbers in used.items():
+        """Remove commits before the newest ``keep`` versions, and files of that time that none of these use.
+
+        A writer that takes longer than ``keep`` versions of others must not be running.
+        """
+        oldest = max(1, self.version() - keep + 1)
+        infos = [self.commit_info(v) for v in range(oldest, self.version() + 1)]
+        used = {"state": {name for i in infos for name, _ in i["segments"]}, "ids": {name for i in infos for name, _ in i["ids"]}, "debounce": {i["debounce"] for i in infos}}
+        for part, names in used.items():
             for name in self.folder.names(part):
-                if name.startswith("v=") and int(name[2:]) <= self.version() and int(name[2:]) not in numbers:
+                if int(name.split("-")[0]) <= oldest and name not in names:
                     self.folder.delete(f"{part}/{name}")
+        for name in self.folder.names("_commits"):
+            if int(name) < oldest:
+                self.folder.delete(f"_commits/{name}")
 
 
 class Alias:

@@ -43,16 +43,23 @@ def work(begin: Callable[[], StreamingQuery], poll_seconds: float = 1.0) -> int:
 def _handler(bound: Bound, shaped: Callable[[DataFrame], DataFrame], item: str) -> Callable[[DataFrame, str, int | None], DataFrame]:
     """A function of a batch, its stream and number that returns ``item, error`` of what is to be delivered again.
 
-    A batch is merged whole or not at all, so that is nothing or all of it.
+    Events that can't be aggregated are, while the others are merged; if the fault is elsewhere, all of them are.
     """
 
     def handle(rows: DataFrame, stream: str, batch: int | None = None) -> DataFrame:
+        events, failed, error = shaped(rows), rows.limit(0), ""
         try:
-            bound.apply(shaped(rows), stream, batch)
-            failed, error = rows.limit(0), ""
+            bound.apply(events, stream, batch)
         except Exception as e:
             bound.recorder.error(bound.pipeline.name, e)
             failed, error = rows, str(e)
+            parts = bound.parted(events)
+            if parts is not None:
+                try:
+                    bound.apply(parts[0], stream, batch)
+                    failed = parts[1]
+                except Exception as again:
+                    bound.recorder.error(bound.pipeline.name, again)
         return failed.select(F.col(item).cast("string").alias("item"), F.lit(error).alias("error"))
 
     return handle

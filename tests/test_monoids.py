@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfold.functions import laws
 from tallyfold.functions import monoids as m
 
 HOUR_US = 3_600_000_000
@@ -68,6 +69,29 @@ def test_laws(spark, name):
     assert answers(monoid, merged(direct, none)) == want
 
 
+@pytest.mark.parametrize("name", ["last", "map", "decayed", "bloom"])
+def test_law_harness(spark, name):
+    monoid, value = CASES[name]
+    assert laws.broken(monoid, events(spark, ROWS).withColumn("value", value()), ["entity"]) == []
+
+
+def test_law_harness_names_what_is_broken(spark):
+    minus = m.Custom(lambda a, b: a - b, 0, "bigint")
+    assert "aggregate of parts" in laws.broken(minus, events(spark, ROWS).withColumn("value", F.col("n")), ["entity"])
+
+
+def test_bloom_equal(spark):
+    b = m.Bloom(1000, 0.01)
+
+    def state(*items):
+        return b.aggregate(spark.createDataFrame([("e", i) for i in items], "entity string, value string"), ["entity"])
+
+    one, same, other = state("x", "y"), state("y", "x", "x"), state("x", "z")
+    for s, want in ((same, True), (other, False)):
+        assert one.select(F.col("v").alias("a")).join(s.select(F.col("v").alias("b"))).select(b.equal(F.col("a"), F.col("b"))).first()[0] is want
+    assert one.select(b.equal(F.col("v"), F.lit(None).cast(one.schema["v"].dataType))).first()[0] is False
+
+
 def test_hll_close_and_idempotent(spark):
     users = spark.range(10_000).select(F.lit("e").alias("entity"), F.concat(F.lit("user-"), "id").alias("value"), F.lit(0).alias("t"), F.lit(0).alias("seq"))
     state = m.hll().aggregate(users, ["entity"])

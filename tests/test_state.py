@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,7 +53,7 @@ def test_a_batch_counts_once_and_failed_writes_are_not_seen(spark, tmp_path):
     t.merge(rows(spark, ("a", 1)), stream="s", batch=0)
     t.merge(rows(spark, ("a", 1)), stream="other", batch=0)
     assert totals(t) == {"a": 2}
-    rows(spark, ("a", 99)).write.parquet(t._part("state", 3))  # a write that never committed
+    rows(spark, ("a", 99)).write.parquet(t._part("state", "000000000003-lost"))  # a write that never committed
     assert totals(t) == {"a": 2}
     t.merge(rows(spark, ("a", 5)))
     assert totals(t) == {"a": 7}
@@ -65,6 +67,65 @@ def test_two_writers_of_one_version(spark, tmp_path):
     assert totals(t) == {"a": 1}
 
 
+def test_writers_commit_on_top_of_each_other(spark, tmp_path, monkeypatch):
+    t, other = (StateTable(spark, str(tmp_path), monoids.sum_()) for _ in range(2))
+    t.merge(rows(spark, ("a", 1)))
+    versions = iter([1, 2, 2])  # the first look is before the other's commit
+    other.merge(rows(spark, ("a", 10)))
+    monkeypatch.setattr(t, "version", lambda: next(versions))
+    assert t.merge(rows(spark, ("a", 100)), stream="s") == 3
+    assert totals(other) == {"a": 111}
+    with pytest.raises(VersionConflict):
+        other.merge(rows(spark, ("a", 1)), base=2)
+
+
+def test_a_batch_is_deduplicated_again_after_a_conflict(spark, tmp_path, monkeypatch):
+    one, two = (Bound(order_pipeline(), StateTable(spark, str(tmp_path), monoids.sum_()), Options(dedup=True)) for _ in range(2))
+    merge, met = one.table.merge, []
+
+    def late(*args, **kwargs):
+        if not met:
+            met.append(two.apply(orders(spark, ("1", "a", 5)), "two", 0))
+        return merge(*args, **kwargs)
+
+    monkeypatch.setattr(one.table, "merge", late)
+    assert one.apply(orders(spark, ("1", "a", 5), ("2", "a", 7)), "one", 0) == 2
+    assert totals(one.table) == {"a": 12}
+    got = one.recorder.snapshot("orders")
+    assert (got["events"], got["retries"], got["skips"]) == (2, 1, {"dedup": 1})
+
+
+def test_rows_are_rewritten_once_a_level(spark, tmp_path):
+    t = StateTable(spark, str(tmp_path), monoids.sum_(), most_segments=2)
+    levels = []
+    for k in range(1, 10):
+        t.merge(rows(spark, ("a", k)))
+        levels.append(sorted(n for _, n in t.commit_info(k)["segments"]))
+    assert levels == [[0], [0, 0], [1], [0, 1], [0, 0, 1], [1, 1], [0, 1, 1], [0, 0, 1, 1], [2]]
+    t.vacuum(keep=1)
+    assert totals(t) == {"a": 45} and t.folder.names("_commits") == ["000000000009"] and len(t.folder.names("state")) == 1
+
+
+def test_bad_events_go_alone(spark, tmp_path):
+    p = Pipeline("orders", (F.col("customer"),), F.col("raw").cast("bigint"), monoids.sum_())
+    bound = Bound(p, StateTable(spark, str(tmp_path / "t"), monoids.sum_()), Options(attempts=1, dead_letters=runtime.to_folder(str(tmp_path / "dead"))))
+    events = orders(spark, *[(str(k), "a", k) for k in range(40)])
+    events = events.withColumn("raw", F.when(F.col("event_id").isin("7", "23"), F.lit("?")).otherwise(F.col("amount").cast("string")))
+    bound.apply_with_retry(events, "s", 0)
+    assert totals(bound.table) == {"a": sum(range(40)) - 30}
+    dead = spark.read.json(str(tmp_path / "dead"))
+    assert sorted(r["event_id"] for r in dead.collect()) == ["23", "7"] and dead.filter("_error is null").count() == 0
+
+
+def test_debounce_forgets(spark, tmp_path):
+    p = presets.counter("clicks", F.col("customer"))
+    bound = Bound(p, StateTable(spark, str(tmp_path), monoids.count()), Options(key_debounce=dt.timedelta(minutes=10), debounce_kept=dt.timedelta(minutes=30)))
+    for batch, (who, minute) in enumerate((("a", 0), ("b", 5), ("b", 6), ("c", 33))):
+        bound.apply(orders(spark, (str(batch), who, 1), at=NOW + dt.timedelta(minutes=minute)), "s", batch)
+    assert sorted(r["key"] for r in bound.table.last_accepted().collect()) == ["b", "c"]
+    assert bound.recorder.snapshot("clicks")["skips"] == {"debounce": 1}
+
+
 def test_expiry_is_by_write_time(spark, tmp_path):
     t = StateTable(spark, str(tmp_path), monoids.sum_(), windows.daily(2 * DAY))
     t.merge(rows(spark, ("old", 1), ("kept", 1)), now=NOW - 3 * DAY)
@@ -144,7 +205,7 @@ def test_stream_equals_batch(spark, tmp_path):
 
 def test_retries_and_dead_letters(spark, tmp_path, monkeypatch):
     dead, slept = [], []
-    monkeypatch.setattr(runtime.time, "sleep", slept.append)
+    monkeypatch.setattr(runtime, "time", SimpleNamespace(sleep=slept.append, monotonic=time.monotonic))  # of this module alone; other threads sleep too
     bound = Bound(order_pipeline(), StateTable(spark, str(tmp_path), monoids.sum_()), Options(dead_letters=lambda d, e: dead.append((d.count(), str(e)))))
     monkeypatch.setattr(bound.table, "merge", lambda *a, **k: 1 / 0)
     bound.apply_with_retry(orders(spark, ("1", "a", 1)), "s", 0)

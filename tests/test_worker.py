@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import monoids
+from tallyfold.operators.pipeline import Pipeline
 from tallyfold.operators.presets import counter
 from tallyfold.streaming import worker
 from tallyfold.streaming.runtime import Bound
@@ -38,3 +39,11 @@ def test_handlers(spark, tmp_path, make, monkeypatch):
     assert {r["entity"]: r["v"] for r in bound.table.read().collect()}["a"] == 2
     monkeypatch.setattr(bound.table, "merge", lambda *a, **k: 1 / 0)
     assert sorted(r["item"] for r in handle(rows, "s", 1).collect()) == ["1", "2", "3"]
+
+
+def test_only_bad_items_come_again(spark, tmp_path):
+    bound = Bound(Pipeline("n", (F.col("page"),), F.col("n").cast("bigint"), monoids.sum_()), StateTable(spark, str(tmp_path), monoids.sum_()))
+    rows = spark.createDataFrame([("a", str(k), "x" if k == 5 else "1", 1000) for k in range(9)], "page string, message_id string, n string, sent_ms bigint")
+    handle = worker.queue_handler(bound, "arn")
+    assert [r["item"] for r in handle(rows, "s", 0).collect()] == ["5"]
+    assert {r["entity"]: r["v"] for r in bound.table.read().collect()} == {"a": 8}
