@@ -29,6 +29,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.regexp_extract(rest, "^[^/?#]*", 0)), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
+#: What is not part of a host's name: user info, a port, and dots at the end. The same in Java and in DuckDB.
+_BESIDE_HOST = ["(?s)^.*@", ":[0-9]*\\z", "\\.+\\z"]
+
+
+def canonical_host(host: Column) -> Column:
+    """A lower-cased host without user info, port and dots at the end."""
+    return reduce(lambda h, p: F.regexp_replace(h, p, ""), _BESIDE_HOST, host)
+
+
 def bloom_bits(key: Column) -> list[Column]:
     """The bit of each word of its block that stands for a key."""
     h = F.xxhash64(F.lit(1), key)
@@ -54,32 +63,44 @@ def lookups(url: Column, host: Column, path: Column, lengths: list[int]) -> Colu
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("\n"), p))))
 
 
+#: Rank from which entries are listed under canonical hosts; entries of less are compared with the host as it is written.
+CANONICAL_FROM = 1
+
+
 def filter_urls(pages: DataFrame, listed: DataFrame, *, url: str = "url") -> DataFrame:
     """Every row's ``host``, ``path`` and the listed entry that decides over it.
 
     ``listed`` has ``host, path, verdict, rank``: among the entries that fit, the
     least rank decides, then the longest, then the least by code point; entries
-    listed twice count once, and null fields make an entry unusable.  Result:
-    all columns of ``pages`` under ``page``, and ``host, path, entry, verdict,
-    rank`` (the last three null where nothing listed fits).  A null URL, or one
-    without ``://``, has empty host and path and fits no entry.  Repeated URLs
-    are judged once and each row gets the verdict.  Of ``pages`` any columns may
-    be there; they are carried in a struct.
+    listed twice count once, and null fields make an entry unusable.  Entries of
+    rank 0 are compared with the URL's host as it is, those of rank 1 and more with its
+    canonical host; these are made canonical themselves, and those left without a
+    host are unusable.  Result: all columns of ``pages`` under ``page``, and
+    ``host, path, entry, verdict, rank`` (the last three null where nothing listed
+    fits).  A null URL, or one without ``://``, has empty host and path and fits no
+    entry.  Repeated URLs are judged once and each row gets the verdict.  A URL is
+    looked up once per label of its host and length of a listed path, however long it
+    is.  Of ``pages`` any columns may be there; they are carried in a struct.
     """
     listed = listed.dropna(subset=["host", "path", "verdict", "rank"])
-    entries = listed.groupBy(F.concat("host", F.lit("\n"), "path").alias("key")).agg(F.min(F.struct("rank", "verdict")).alias("way"))
+    as_canonical = F.col("rank") >= CANONICAL_FROM
+    listed = listed.withColumn("host", F.when(as_canonical, canonical_host(ascii_lower(F.col("host")))).otherwise(F.col("host"))).filter("host <> ''")
+    key = F.concat(F.when(as_canonical, "c").otherwise("r"), F.col("host"), F.lit("\n"), F.col("path"))
+    entries = listed.groupBy(key.alias("key")).agg(F.min(F.struct("rank", "verdict")).alias("way"))
     entries = checkpointed(entries.select("key", "way.rank", "way.verdict"))
     n = entries.count()
     blocks = max(1, -(-n * BITS_PER_KEY // (64 * WORDS)))
     lengths = sorted(r[0] for r in entries.select(F.length(F.substring_index("key", "\n", -1))).distinct().collect())  # no more than the longest URL has characters
     host, path = host_and_path(F.col("url"))
     distinct = pages.select(F.col(url).alias("url")).filter("url is not null").distinct().select("url", host.alias("host"), path.alias("path"))
-    keys = distinct.filter("host <> ''").select("url", F.explode(F.array_distinct(lookups(F.col("url"), F.col("host"), F.col("path"), lengths))).alias("key"))
+    raw, canonical = (lookups(F.col("url"), h, F.col("path"), lengths) for h in (F.col("host"), canonical_host(F.col("host"))))
+    both = [F.transform(raw, lambda k: F.concat(F.lit("r"), k)), F.transform(canonical, lambda k: F.concat(F.lit("c"), k))]
+    keys = distinct.filter("host <> ''").select("url", F.explode(F.array_distinct(F.concat(*both))).alias("key"))
     bits = small_side(bloom_filter(entries.select("key"), blocks))
     probe = keys.withColumn("block", bloom_block(F.col("key"), blocks)).join(bits, "block")
     passed = probe.filter(reduce(Column.__and__, [F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(bloom_bits(F.col("key")))])).select("url", "key")
     exact = passed.join(small_side(entries), "key")
-    entry = F.replace("key", F.lit("\n"), F.lit(""))
+    entry = F.replace(F.substr("key", F.lit(2)), F.lit("\n"), F.lit(""))
     best = exact.groupBy("url").agg(F.min(F.struct("rank", (-F.length("key")).alias("short"), entry.alias("entry"), "verdict")).alias("best"))
     judged = best.select(F.col("url").alias("judged"), "best.entry", "best.verdict", "best.rank")
     rows = pages.select(F.struct(*pages.columns).alias("page"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
@@ -106,8 +127,9 @@ SELECT page_id, lower_host AS host, path FROM (
 """
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 _SITES = ", ".join(f"('{s}')" for s in LISTED_SITES)
+_CANONICAL = reduce(lambda h, p: f"regexp_replace({h}, '{p}', '')", _BESIDE_HOST, "host")
 URLS_SQL = f"""
-WITH parsed AS ({_PARSED}),
+WITH parsed AS (SELECT *, {_CANONICAL} AS name FROM ({_PARSED})),
 rules(rule_host, rule_path, verdict) AS (VALUES {_RULE_ROWS}),
 sites(site) AS (VALUES {_SITES}),
 fits AS (
@@ -118,5 +140,5 @@ fits AS (
   GROUP BY ALL)
 SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, CASE WHEN s.site IS NULL THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN f.rule IS NULL THEN s.site END AS listed
 FROM parsed p LEFT JOIN fits f USING (page_id, host, path)
-LEFT JOIN sites s ON p.host = s.site OR ends_with(p.host, '.' || s.site)
+LEFT JOIN sites s ON p.name = s.site OR ends_with(p.name, '.' || s.site)
 """
