@@ -59,7 +59,7 @@ def lookups(url: Column, host: Column, path: Column, lengths: list[int]) -> Colu
     """All keys, ``host suffix + path prefix``, under which a URL might be listed."""
     labels = F.split(host, "\\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    paths = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]))
+    paths = F.array_compact(F.array(*[F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]).cast("array<string>"))
     return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.concat(h, F.lit("\n"), p))))
 
 
@@ -90,12 +90,13 @@ def filter_urls(pages: DataFrame, listed: DataFrame, *, url: str = "url") -> Dat
     entries = checkpointed(entries.select("key", "way.rank", "way.verdict"))
     n = entries.count()
     blocks = max(1, -(-n * BITS_PER_KEY // (64 * WORDS)))
-    lengths = sorted(r[0] for r in entries.select(F.length(F.substring_index("key", "\n", -1))).distinct().collect())  # no more than the longest URL has characters
+    found = entries.select(F.left("key", F.lit(1)), F.length(F.substring_index("key", "\n", -1))).distinct().collect()  # twice as many as the longest URL has characters, at most
+    lengths = {tag: sorted(n for t, n in found if t == tag) for tag in "rc"}
     host, path = host_and_path(F.col("url"))
     distinct = pages.select(F.col(url).alias("url")).filter("url is not null").distinct().select("url", host.alias("host"), path.alias("path"))
-    raw, canonical = (lookups(F.col("url"), h, F.col("path"), lengths) for h in (F.col("host"), canonical_host(F.col("host"))))
-    both = [F.transform(raw, lambda k: F.concat(F.lit("r"), k)), F.transform(canonical, lambda k: F.concat(F.lit("c"), k))]
-    keys = distinct.filter("host <> ''").select("url", F.explode(F.array_distinct(F.concat(*both))).alias("key"))
+    raw = F.transform(lookups(F.col("url"), F.col("host"), F.col("path"), lengths["r"]), lambda k: F.concat(F.lit("r"), k))
+    canonical = F.transform(lookups(F.col("url"), canonical_host(F.col("host")), F.col("path"), lengths["c"]), lambda k: F.concat(F.lit("c"), k))
+    keys = distinct.filter("host <> ''").select("url", F.explode(F.array_distinct(F.concat(raw, canonical))).alias("key"))
     bits = small_side(bloom_filter(entries.select("key"), blocks))
     probe = keys.withColumn("block", bloom_block(F.col("key"), blocks)).join(bits, "block")
     passed = probe.filter(reduce(Column.__and__, [F.col(f"w{k}").bitwiseAND(b) != 0 for k, b in enumerate(bloom_bits(F.col("key")))])).select("url", "key")
