@@ -74,10 +74,15 @@ def hex16(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(
+    a: np.ndarray, b: np.ndarray | None, budget: int, top: int, *, depth: int = 64, label: tuple[np.ndarray, np.ndarray] | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places in the sorted ``a`` and ``b`` (None: ``a`` with itself) of fingerprints within the budget.
 
-    All of ``a`` share their first ``top`` bits, and so do all of ``b``.
+    All of ``a`` share their first ``top`` bits, and so do all of ``b``.  Bits
+    after the first ``depth`` are zero.  ``label`` has the components so far of
+    ``a`` and ``b`` and may change between links: pairs of nodes that are in one
+    component are dropped.
     """
     own = b is None
     b = a if own else b
@@ -86,8 +91,12 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, top: int) -> It
 
     def ones(x: np.ndarray) -> list[np.ndarray]:
         """For each level, how many of the first fingerprints go to the right."""
-        shift = np.arange(63, top - 1, -1, dtype=np.uint64)[::-1]
-        return [np.concatenate(([0], np.cumsum((x >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int32))) for d in range(top, top + len(shift))]
+        return [np.concatenate(([0], np.cumsum((x >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int32))) for d in range(top, depth)]
+
+    def last(x: np.ndarray) -> np.ndarray:
+        """For each place, where its run of equal labels ends."""
+        edge = np.append(np.flatnonzero(np.diff(x)) + 1, len(x))
+        return np.repeat(edge, np.diff(edge, prepend=0))
 
     right_a = ones(a)
     right_b = right_a if own else ones(b)
@@ -95,8 +104,12 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, top: int) -> It
     stack = [(top, *(np.array([x], np.int32) for x in (0, len(a), 0, len(b), start)))]
     while stack:
         d, al, ah, bl, bh, diff = stack.pop()
+        if label is not None:
+            x, y = label
+            apart = (x[al] != y[bl]) | (last(x)[al] < ah) | (last(y)[bl] < bh)
+            al, ah, bl, bh, diff = al[apart], ah[apart], bl[apart], bh[apart], diff[apart]
         small = (ah - al).astype(np.int64) * (bh - bl) <= LEAF_PAIRS
-        if d == 64:
+        if d == depth:
             small[:] = True
         if small.any():
             x, y, w = al[small], bl[small], (bh - bl)[small]
@@ -128,9 +141,12 @@ def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, top: int) -> It
             stack.append((d + 1, *(x[k : k + FRONTIER] for x in nodes)))
 
 
-def _stars(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """A place and its component's least place, for all in a component but the least; links come in blocks."""
-    label = np.arange(n)
+def _stars(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]], label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A place and its component's least place, for all in a component but the least; links come in blocks.
+
+    ``label``: places in order, which become those of the components so far.
+    """
+    label = np.arange(n) if label is None else label
     for i, j in links:
         while len(i):
             x, y = label[i], label[j]
@@ -141,7 +157,7 @@ def _stars(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.n
             i, j = i[apart], j[apart]
             np.minimum.at(label, high[apart], low[apart])
             while (label != (up := label[label])).any():
-                label = up
+                label[:] = up
     member = np.flatnonzero(label != np.arange(n))
     return member, label[member]
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from tallyfold.llm import similar
+from tallyfold.llm import simhash, similar
 
 from . import hard
 
@@ -115,3 +115,51 @@ def test_stage_on_the_small_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()) == kept(rows)
+
+
+def test_walk_of_a_trie_prunes(monkeypatch):
+    rng = np.random.default_rng(2)
+    hi, lo = (np.sort(rng.integers(0, 1 << 64, 3000, np.uint64)) for _ in range(2))
+    seen = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def bitwise_count(self, x):
+            seen.append(np.size(x))
+            return np.bitwise_count(x)
+
+    monkeypatch.setattr(simhash, "np", Counting())
+    list(similar.trie_pairs(hi, lo, None, 0, np.arange(len(hi))))
+    assert 0 < sum(seen) < 3000 * 2999 // 2 // 10
+
+
+def test_tries_join_what_is_similar(spark):
+    rng = np.random.default_rng(3)
+
+    def some(n):
+        return rng.integers(0, 1 << 64, n, np.uint64)
+
+    def grown(x, less, more):
+        return np.unique(np.concatenate([x[less:], some(more)]))
+
+    sets = []
+    # Pairs of similarity 0.8, or just above in small sets, and one large group.
+    for n, less, more in ((4, 0, 1), (5, 0, 1), (9, 1, 1), (8, 0, 2), (90, 10, 10), (270, 30, 30)):
+        for _ in range(8):
+            sets.append(np.unique(some(n)))
+            sets.append(grown(sets[-1], less, more))
+    base = np.unique(some(200))
+    sets += [grown(base, 6, 6) for _ in range(150)] + [np.unique(some(int(n))) for n in rng.integers(1, 60, 300)]
+    rows = []
+    for p, x in enumerate(sets):
+        words = similar.fingerprint(x, (2 if len(x) <= similar.SHORT else 1) * similar.WORDS)
+        rows.append((p, words.view(np.int64).tolist()))
+    classes = spark.createDataFrame(rows, "p bigint, print array<bigint>").repartition(3)
+    want = groups(len(sets), linked_pairs(sets))
+    for tops in (0, 3):
+        got = groups(len(sets), [tuple(r) for r in similar.trie_stars(similar.trie_rows(classes), tops=tops).collect()])
+        # Clusters may be larger than components, but tell different texts apart.
+        assert all(any(c <= g for g in got) for c in want)
+        assert len(got) >= len(want) - 5
