@@ -267,8 +267,12 @@ class Bloom(Monoid):
         """Whether two states have the same bits; null is the empty filter."""
         return F.coalesce(a, F.array()) == F.coalesce(b, F.array())
 
-    def contains(self, states: DataFrame, asked: DataFrame, by: list[str], value: str) -> DataFrame:
-        """``asked`` with a boolean ``member``: whether each row's value may be in its group's filter; no filter: no."""
+    def contains(self, states: DataFrame, asked: DataFrame, by: list[str], value: str, members: DataFrame | None = None) -> DataFrame:
+        """``asked`` with a boolean ``member``: whether each row's value may be in its group's filter; no filter: no.
+
+        With the event rows ``by, value`` that the filters were made of as ``members``, what passes
+        is looked up among them, and the answer is exact however full the filters are.
+        """
         keys = [*by, value]
         each = asked.select(*keys).distinct().select(*keys, F.explode_outer(self.positions(F.col(value))).alias("_p")).withColumn("_p", F.col("_p") + 1)
         each = each.select(*keys, F.bitmap_bucket_number("_p").alias("page"), F.bitmap_bit_position("_p").alias("_bit"))
@@ -276,9 +280,11 @@ class Bloom(Monoid):
         byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         hit = F.coalesce(F.call_function("getbit", byte, (F.col("_bit") % 8).cast("int")) == 1, F.lit(False))
         found = each.join(pages, [*by, "page"], "left").groupBy(*keys).agg(F.min(hit).alias("member"))
+        if members is not None:
+            found = found.filter("member").join(members.select(*by, F.col("value").alias(value)).distinct(), keys, "left_semi")
         found = found.select(*[F.col(k).alias(f"_{k}") for k in keys], "member")
         same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-        return asked.join(found, same, "left").drop(*[f"_{k}" for k in keys])
+        return asked.join(found, same, "left").drop(*[f"_{k}" for k in keys]).withColumn("member", F.coalesce("member", F.lit(False)))
 
 
 @dataclass(frozen=True)
