@@ -263,6 +263,13 @@ class Bloom(Monoid):
         size = -F.lit(self.bits / self.hashes) * F.log1p(-ones / F.lit(float(self.bits)))
         return F.struct(F.lit(self.bits).alias("bits"), F.lit(self.hashes).alias("hashes"), ones.alias("set_bits"), F.round(size).cast("bigint").alias("approx_size"))
 
+    def fits(self, shape: Column, n: Column) -> Column:
+        """Whether a filter of this shape may hold ``n`` different values: its set bits are within ten standard deviations, and two values, of theirs."""
+        m, load = F.lit(float(self.bits)), n * F.lit(self.hashes / self.bits)
+        clear = F.exp(-load)
+        spread = F.sqrt(F.greatest(m * (clear - (1 + load) * clear * clear), F.lit(0.0)))
+        return F.abs(shape["set_bits"] - m * (1 - clear)) <= 10 * spread + 2 * self.hashes
+
     def equal(self, a: Column, b: Column) -> Column:
         """Whether two states have the same bits; null is the empty filter."""
         return F.coalesce(a, F.array()) == F.coalesce(b, F.array())
@@ -372,6 +379,16 @@ class Custom(Monoid):
         return F.lit(self.start)
 
 
+def distinct_counts(events: DataFrame, by: list[str]) -> DataFrame:
+    """``by, n``: how many different values each group of event rows has, null aside; exact, and spread over tasks by value."""
+    return events.select(*by, F.col("value").alias("value")).distinct().groupBy(*by).agg(F.count("value").alias("n"))
+
+
+def settled(n: Column, fits: Column) -> Column:
+    """An exact count beside a sketch of the same values; a sketch that doesn't fit it is an error, not an answer."""
+    return F.when(fits, n).otherwise(F.raise_error(F.concat(F.lit("a sketch doesn't fit the count "), F.coalesce(n.cast("string"), F.lit("null")))))
+
+
 #: What a named query or a description may ask for by kind.
 REGISTRY: dict[str, Callable[..., Monoid]] = {
     "sum": sum_, "count": count, "min": min_, "max": max_, "monotonic": monotonic, "first": first, "last": last, "set": set_,

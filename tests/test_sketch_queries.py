@@ -1,5 +1,7 @@
 """Queries that go through sketches give their SQL's exact answers where the sketches alone can't."""
 
+import datetime as dt
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,16 @@ def many_users(spark, tmp_path_factory):
     return folder
 
 
+@pytest.fixture(scope="module")
+def odd_users(spark, tmp_path_factory):
+    """A type without any user, one with a user and none, one with one user often."""
+    folder = tmp_path_factory.mktemp("odd")
+    rows = [("click", None), ("click", None), ("view", 5), ("view", None), ("purchase", 5), ("purchase", 5), ("purchase", 5)]
+    columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame([(k, dt.datetime(2024, 1, 1 + k), user, kind, 1.0, "{}") for k, (kind, user) in enumerate(rows)], columns).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
 def test_bloom_membership_of_many_users(spark, many_users):
     against_sql(spark, many_users, "bloom_membership")
 
@@ -41,3 +53,25 @@ def test_bloom_full_filter_with_members(spark):
     assert [r["member"] for r in bloom.contains(state, asked, ["entity"], "q").filter("q = 700").collect()] == [True]
     got = sorted((str(r["entity"]), str(r["q"]), r["member"]) for r in bloom.contains(state, asked, ["entity"], "q", members).collect())
     assert got == [("None", "3", False), ("e", "3", True), ("e", "3", True), ("e", "700", False), ("e", "None", False), ("other", "3", False)]
+
+
+@pytest.mark.parametrize("folder", ["many_users", "odd_users"])
+def test_bloom_shape(spark, request, folder):
+    against_sql(spark, request.getfixturevalue(folder), "bloom_shape")
+
+
+def test_bloom_fits(spark):
+    """Filters from empty to full fit the number of their values and no number far from it; full ones tell many numbers apart no longer."""
+    bloom = m.Bloom(1000, 0.01)
+    for n in (0, 1, 30, 1000, 5000, 20_000):
+        state = bloom.aggregate(spark.range(n).select(F.lit("e").alias("entity"), F.col("id").alias("value")), ["entity"])
+        whole = spark.range(1).join(state, how="left").select(bloom.finalize(F.col("v")).alias("s"))
+        fits = [whole.select(bloom.fits(F.col("s"), F.lit(k))).first()[0] for k in (n, n // 3, 3 * n + 20)]
+        assert fits == [True, n < 5 or n == 20_000, n == 20_000], n
+
+
+def test_sketch_that_does_not_fit(spark):
+    one = spark.range(1)
+    assert one.select(m.settled(F.lit(7).cast("bigint"), F.lit(True)).alias("n")).first()["n"] == 7
+    with pytest.raises(Exception, match="doesn't fit the count 7"):
+        one.select(m.settled(F.col("id") + 7, F.col("id") > 0)).collect()
