@@ -140,6 +140,11 @@ def hll(bits: int = HLL_BITS) -> Expression:
     )
 
 
+def hll_fits(estimate: Column, n: Column, bits: int = HLL_BITS) -> Column:
+    """Whether a sketch may tell this estimate of ``n`` different values: it is within ten standard errors, and two values, of them."""
+    return F.abs(estimate - n) <= F.lit(10 * 1.04 / math.sqrt(2**bits)) * n + 2
+
+
 @dataclass(frozen=True)
 class Tuple(Monoid):
     """Several expression monoids side by side, each over a field of a struct value; the state is a struct."""

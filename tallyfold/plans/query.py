@@ -93,10 +93,10 @@ class Reader:
     trailing, trailing_many = window, window_many
 
     def over(self, entities: DataFrame, low: int = ALL_TIME, high: int = ALL_TIME) -> DataFrame:
-        """``v``: one answer over the union of several entities' states, within buckets."""
+        """``v``: one answer over the union of several entities' states, within buckets; the identity's answer if none has any."""
         rows = self.state.filter(F.col("bucket").between(low, high)).join(_sent(entities), "entity", "left_semi")
-        merged = self.monoid.merge(rows.select(F.lit(0).alias("all"), "v"), ["all"])
-        return merged.select(self.monoid.finalize(F.col("v")).alias("v"))
+        merged = self.monoid.merge(rows.select(F.lit("all").alias("entity"), "v"), ["entity"])
+        return self._many(self._one("all"), merged).select("v")
 
     def sliding(self, span: dt.timedelta) -> DataFrame:
         """``entity, bucket, v``: at each bucket with state, the fold of the buckets of the ``span`` that ends there.

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tallyfold import queries as core
 from tallyfold.functions import monoids as m
+from tallyfold.operators import presets
+from tallyfold.plans.query import Reader
 
 
 def against_sql(spark, folder, name):
@@ -41,6 +43,15 @@ def odd_users(spark, tmp_path_factory):
     return folder
 
 
+@pytest.fixture(scope="module")
+def other_types(spark, tmp_path_factory):
+    """Events, none of a type that a query asks for."""
+    folder = tmp_path_factory.mktemp("other")
+    columns = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+    spark.createDataFrame([(0, dt.datetime(2024, 1, 1), 5, "view", 1.0, "{}")], columns).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
 def test_bloom_membership_of_many_users(spark, many_users):
     against_sql(spark, many_users, "bloom_membership")
 
@@ -60,6 +71,24 @@ def test_bloom_shape(spark, request, folder):
     against_sql(spark, request.getfixturevalue(folder), "bloom_shape")
 
 
+@pytest.mark.parametrize("folder", ["many_users", "odd_users", "other_types"])
+def test_cardinality_over(spark, request, folder):
+    against_sql(spark, request.getfixturevalue(folder), "cardinality_over")
+
+
+def test_over_no_state(spark):
+    p = presets.counter("c", F.col("k")).at(F.lit("2024-01-01").cast("timestamp"), F.lit(0))
+    state = p.compile(spark.createDataFrame([("a",), ("a",), ("b",)], "k string"))
+    for entities, want in (["a", "b", "b"], 3), (["b"], 1), (["c"], 0), ([], 0):
+        asked = spark.createDataFrame([(e,) for e in entities], "entity string")
+        assert [r["v"] for r in Reader(p, state).over(asked).collect()] == [want]
+
+
+def test_hll_fits(spark):
+    for n, estimate, want in (0, 0, True), (0, 3, False), (10, 8, True), (10, 7, False), (100_000, 108_000, True), (100_000, 91_000, False):
+        assert spark.range(1).select(m.hll_fits(F.lit(estimate), F.lit(n))).first()[0] is want, (n, estimate)
+
+
 def test_bloom_fits(spark):
     """Filters from empty to full fit the number of their values and no number far from it; full ones tell many numbers apart no longer."""
     bloom = m.Bloom(1000, 0.01)
